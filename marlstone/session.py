@@ -71,7 +71,7 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str, right_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list, how: str, right_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a lookup side of counted size: broadcast up to `limit` rows,
     a shuffled join (split by adaptive execution where skewed) beyond."""
     return left.join(F.broadcast(right) if right_rows <= limit else right, on, how)
