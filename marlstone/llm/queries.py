@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import current_clips
+from marlstone.llm.common import current_clips, squeezed
+from marlstone.llm.percentiles import bisect, combined, located, long_values, summaries
 from marlstone.llm.runs import collapse_runs
+from marlstone.llm.sampling import pivotal_sample, strata_report
+from marlstone.llm.splits import assign_splits, entity_groups, split_name, torn_entities
 from marlstone.llm.topn import top_n
-from marlstone.session import table
+from marlstone.session import stored, table
 
 SQL_SQUEEZE = r"lower(regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
 SQL_CURRENT = f"""
@@ -32,12 +35,109 @@ def p2_events(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d, 1).select("episode_index", F.col("first").alias("first_frame"), F.col("last").alias("last_frame"), F.col("n").alias("frames"), F.round("duration", 6).alias("duration_sec"), "clock_steps_back")
 
 
+def _strata(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    """Eligible current clips with their stratum, and the targets table (22 rows)."""
+    targets = [r.asDict() for r in table(spark, d, "sample_targets").orderBy("category", "is_safe").collect()]
+    names = spark.createDataFrame([(t["category"], t["is_safe"], i) for i, t in enumerate(targets)], "category string, is_safe boolean, stratum int")
+    clips = current_clips(table(spark, d, "stages"), "category", "is_safe").withColumn("category", squeezed("category"))
+    return stored(clips.join(F.broadcast(names), ["category", "is_safe"]), "eligible"), targets
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    eligible, targets = _strata(spark, d)
+    short = [(t["category"], int(t["is_safe"])) for t in strata_report(eligible, ["category", "is_safe"], targets) if t["short"]]
+    return spark.createDataFrame(short, "category string, is_safe int")
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sampled clips with their inclusion probability."""
+    eligible, targets = _strata(spark, d)
+    report = strata_report(eligible, ["category", "is_safe"], targets)
+    probs = spark.createDataFrame([(t["stratum"], t["p"]) for t in report], "stratum int, p double")
+    rows = eligible.join(F.broadcast(probs), "stratum")
+    taken = pivotal_sample(rows.select(F.col("clip_row").alias("id"), "stratum", "p"), sum(t["eligible"] for t in report))
+    return rows.join(taken, rows["clip_row"] == taken["id"], "left_semi").select("clip_row", "video_id", "clip_index", "category", F.col("is_safe").cast("int").alias("is_safe"), "p")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per stratum: eligible clips, target, rows it can get, gap to the target."""
+    eligible, targets = _strata(spark, d)
+    rows = [(t["category"], int(t["is_safe"]), t["eligible"], t["sample_size"], t["wanted"], round(t["reachable"], 6), round(max(0.0, t["wanted"] - t["reachable"]), 6), int(t["short"])) for t in strata_report(eligible, ["category", "is_safe"], targets)]
+    return spark.createDataFrame(rows, "category string, is_safe int, eligible bigint, sample_size bigint, wanted double, reachable double, gap double, short int")
+
+
+METRICS = {"brightness": "brightness >= 0", "contrast": "contrast > 0", "sharpness": "sharpness >= 0"}
+PERMILLES = [10, 50, 250, 500, 750, 950, 990]
+
+
+def _metric_values(spark: SparkSession, d: str) -> DataFrame:
+    """category (trimmed, lower-cased, null stays a group), day, metric, value, n."""
+    stages = table(spark, d, "stages").select(squeezed("category").alias("category"), F.to_date("processed_at").alias("day"), *METRICS)
+    return long_values(stages, ["category", "day"], METRICS).groupBy("category", "day", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p4_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of single days; they add up over any set of days."""
+    return summaries(_metric_values(spark, d), ["day", "category", "metric"])
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles over all days, with the interval known from the
+    combined daily summaries alone."""
+    keys = ["category", "metric"]
+    values = stored(_metric_values(spark, d), "values")
+    daily = summaries(values, ["day", *keys])
+    start = stored(located(combined(daily, keys), keys, PERMILLES), "located")
+    exact = bisect(values, start, keys)
+    bounds = start.withColumnsRenamed({k: f"_{k}" for k in [*keys, "permille"]})
+    on = [exact[k].eqNullSafe(bounds[f"_{k}"]) for k in [*keys, "permille"]]
+    return exact.join(bounds, on).select(*keys, "permille", exact["total"], "value", F.col("lo").alias("summary_low"), F.col("hi").alias("summary_high"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     clips = current_clips(table(spark, d, "stages"), "sharpness", "motion_score").where("sharpness >= 0 and not isnan(sharpness)")
     best = top_n(clips.select("video_id", "clip_index", "sharpness", "motion_score"), ["video_id"], "sharpness", 3, [F.col("motion_score").desc_nulls_last(), F.col("clip_index").asc()], F.col("clip_index"))
     return best.select("video_id", "clip_index")
 
 
+def _entity_rows(spark: SparkSession, d: str) -> DataFrame:
+    """kind, record, entity of every clip row and frame row."""
+    clips = table(spark, d, "stages").select(F.lit("video").alias("kind"), F.col("clip_row").alias("record"), squeezed("video_id").alias("entity"))
+    frames = table(spark, d, "lerobot_datasource").select(F.lit("episode").alias("kind"), F.col("index").alias("record"), F.col("episode_index").cast("string").alias("entity"))
+    return clips.unionByName(frames)
+
+
+def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r["split_name"], r["target_permille"]) for r in table(spark, d, "split_targets").orderBy("split_name").collect()]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    names = [n for n, _ in _split_targets(spark, d)]
+    draft = table(spark, d, "split_draft").select(squeezed("entity_kind").alias("kind"), F.col("record_id").alias("record"), split_name(F.col("split_name"), names).alias("split"))
+    drafted = draft.where("record is not null").groupBy("kind", "record").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    links = stored(_entity_rows(spark, d).join(drafted, ["kind", "record"]), "links")
+    named = links.select("kind", "entity", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("split"))
+    torn = torn_entities(named, entity_groups(links))
+    return torn.select(F.col("kind").alias("entity_kind"), F.col("entity").alias("entity_key"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every video and episode, with its rows."""
+    rows = _entity_rows(spark, d).where("entity is not null")
+    groups = entity_groups(rows)
+    weights = rows.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("rows"))
+    grouped = stored(weights.join(groups, ["kind", "entity"]), "grouped")
+    placed = assign_splits(grouped.groupBy("kind", "component").agg(F.sum("rows").alias("weight")), _split_targets(spark, d))
+    return grouped.join(placed, ["kind", "component"]).select(F.col("kind").alias("entity_kind"), F.col("entity").alias("entity_key"), "rows", F.col("split").alias("split_name"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and share of each split, by kind."""
+    rows = p6_splits(spark, d).groupBy("entity_kind", "split_name").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("entities"), F.max("rows").alias("largest"))
+    total = rows.groupBy("entity_kind").agg(F.sum("rows").alias("total"))
+    return rows.join(total, "entity_kind").select("entity_kind", "split_name", "rows", "entities", "largest", (F.col("rows") * 1000 / F.col("total")).alias("share_permille"))
+
+
 _ALIKE = " AND ".join(f"abs({v}[{i}]::DOUBLE - (lag({v}) OVER w)[{i}]::DOUBLE) <= 0.002" for v, k in (("state", 4), ("action", 2)) for i in range(1, k + 1))
 _RUNS = f"""
 WITH frames AS (
@@ -48,7 +148,10 @@ marked AS (
 numbered AS (
   SELECT *, sum(CASE WHEN alike THEN 0 ELSE 1 END) OVER (PARTITION BY episode_index ORDER BY frame_index) AS run FROM marked)"""
 
-QUERIES = {"p2_found": p2_found, "p2_events": p2_events, "p5_found": p5_found}
+QUERIES = {
+    "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
+}
 ORACLES = {
     "p2_found": f"{_RUNS} SELECT episode_index, min(frame_index) AS first_frame, max(frame_index) AS last_frame FROM numbered GROUP BY episode_index, run HAVING count(*) > 1",
     "p2_events": f"""{_RUNS}, stepped AS (SELECT *, lag(t IGNORE NULLS) OVER (PARTITION BY episode_index, run ORDER BY frame_index) AS before FROM numbered)
@@ -61,4 +164,30 @@ WITH {SQL_CURRENT}
 SELECT vid AS video_id, clip_index FROM (
   SELECT vid, clip_index, row_number() OVER (PARTITION BY vid ORDER BY sharpness DESC, motion_score DESC NULLS LAST, clip_index) AS r
   FROM current_clips WHERE sharpness >= 0 AND NOT isnan(sharpness)) WHERE r <= 3""",
+    "p3_found": f"""
+WITH {SQL_CURRENT},
+eligible AS (SELECT t.category, t.is_safe, count(c.vid) AS n, any_value(t.min_rows) AS min_rows, any_value(t.target_permille) AS permille
+  FROM sample_targets t LEFT JOIN current_clips c ON {SQL_SQUEEZE.format("c.category")} = t.category AND c.is_safe = t.is_safe GROUP BY 1, 2),
+sized AS (SELECT *, sum(n) OVER () // 10 AS size FROM eligible)
+SELECT category, is_safe::INTEGER AS is_safe FROM sized WHERE n < min_rows OR n * 1000 < permille * size""",
+    "p4_percentiles": f"""
+WITH vals AS (
+  SELECT {SQL_SQUEEZE.format("category")} AS category, m.metric, m.value FROM stages,
+    LATERAL (SELECT unnest([{{'metric': 'brightness', 'value': CASE WHEN brightness >= 0 THEN brightness END}}, {{'metric': 'contrast', 'value': CASE WHEN contrast > 0 THEN contrast END}}, {{'metric': 'sharpness', 'value': CASE WHEN sharpness >= 0 THEN sharpness END}}], recursive := true)) m
+  WHERE m.value IS NOT NULL AND NOT isnan(m.value)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY category, metric ORDER BY value) AS r, count(*) OVER (PARTITION BY category, metric) AS total,
+    CASE WHEN value < 0 THEN -floor(log2(1 + abs(value)) * 64) - 1 ELSE floor(log2(1 + abs(value)) * 64) END AS bucket FROM vals),
+spans AS (SELECT *, min(value) OVER (PARTITION BY category, metric, bucket) AS lo, max(value) OVER (PARTITION BY category, metric, bucket) AS hi FROM ranked)
+SELECT category, metric, p.permille::INTEGER AS permille, total, value, lo AS summary_low, hi AS summary_high
+FROM spans, (SELECT unnest({PERMILLES}) AS permille) p WHERE r = greatest(1, (p.permille * total + 999) // 1000)""",
+    "p6_found": f"""
+WITH draft AS (
+  SELECT {SQL_SQUEEZE.format("entity_kind")} AS kind, record_id, regexp_replace({SQL_SQUEEZE.format("split_name")}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS x FROM split_draft),
+named AS (
+  SELECT kind, record_id, coalesce((SELECT any_value(t.split_name) FROM split_targets t WHERE starts_with(x, t.split_name) OR starts_with(t.split_name, x) HAVING count(*) = 1), x) AS split
+  FROM draft WHERE x <> ''),
+entity AS (
+  SELECT 'video' AS kind, clip_row AS record_id, {SQL_SQUEEZE.format("video_id")} AS entity FROM stages
+  UNION SELECT 'episode', "index", episode_index::VARCHAR FROM lerobot_datasource)
+SELECT kind AS entity_kind, entity AS entity_key FROM named JOIN entity USING (kind, record_id) WHERE entity IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""",
 }
