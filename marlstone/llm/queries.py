@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import current_clips, squeezed
+from marlstone.llm.packing import CAPACITY, pack, pieces
 from marlstone.llm.percentiles import bisect, combined, located, long_values, summaries
 from marlstone.llm.runs import collapse_runs
 from marlstone.llm.sampling import pivotal_sample, strata_report
 from marlstone.llm.splits import assign_splits, entity_groups, split_name, torn_entities
+from marlstone.llm.tokens import decode, encode
 from marlstone.llm.topn import top_n
 from marlstone.session import stored, table
 
@@ -138,6 +140,36 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(total, "entity_kind").select("entity_kind", "split_name", "rows", "entities", "largest", (F.col("rows") * 1000 / F.col("total")).alias("share_permille"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Each text decoded from its ids again; a null text comes back empty."""
+    ids = stored(encode(table(spark, d, "documents"), "doc_id", "text"), "ids")
+    return decode(ids, "doc_id", F.col("ids"))
+
+
+def _token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"), "doc_id", "text", counts_only=True)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that must be split: those with a second piece."""
+    return pieces(_token_counts(spark, d), "doc_id", "tokens", CAPACITY).where("piece = 1").select("doc_id")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container and place of every piece of every document."""
+    return pack(_token_counts(spark, d), "doc_id", "tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and their fill by length."""
+    bins = p8_containers(spark, d).groupBy("container", "length").agg(F.sum("tokens").alias("tokens"))
+    return bins.groupBy("length").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens")).withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("length")))
+
+
 _ALIKE = " AND ".join(f"abs({v}[{i}]::DOUBLE - (lag({v}) OVER w)[{i}]::DOUBLE) <= 0.002" for v, k in (("state", 4), ("action", 2)) for i in range(1, k + 1))
 _RUNS = f"""
 WITH frames AS (
@@ -151,6 +183,7 @@ numbered AS (
 QUERIES = {
     "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
+    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
 }
 ORACLES = {
     "p2_found": f"{_RUNS} SELECT episode_index, min(frame_index) AS first_frame, max(frame_index) AS last_frame FROM numbered GROUP BY episode_index, run HAVING count(*) > 1",
@@ -190,4 +223,5 @@ entity AS (
   SELECT 'video' AS kind, clip_row AS record_id, {SQL_SQUEEZE.format("video_id")} AS entity FROM stages
   UNION SELECT 'episode', "index", episode_index::VARCHAR FROM lerobot_datasource)
 SELECT kind AS entity_kind, entity AS entity_key FROM named JOIN entity USING (kind, record_id) WHERE entity IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
