@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import current_clips, squeezed
 from marlstone.llm.packing import CAPACITY, pack, pieces
 from marlstone.llm.percentiles import bisect, combined, located, long_values, summaries
+from marlstone.llm.quality import document_stats, prose_rule
 from marlstone.llm.runs import collapse_runs
 from marlstone.llm.sampling import pivotal_sample, strata_report
 from marlstone.llm.splits import assign_splits, entity_groups, split_name, torn_entities
@@ -170,6 +171,22 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return bins.groupBy("length").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens")).withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("length")))
 
 
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All statistics of every document, and whether it is prose."""
+    return document_stats(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).withColumn("prose", prose_rule())
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_stats(spark, d).where("not prose").select("doc_id")
+
+
+def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The rules against the labels (some of which are wrong)."""
+    labels = table(spark, d, "prose_labels").groupBy("doc_id").agg(F.min("label").alias("label"))
+    joined = p9_stats(spark, d).select("doc_id", F.when(F.col("prose"), "prose").otherwise("other").alias("found")).join(labels, "doc_id")
+    return joined.groupBy("label", "found").agg(F.count(F.lit(1)).alias("documents"))
+
+
 _ALIKE = " AND ".join(f"abs({v}[{i}]::DOUBLE - (lag({v}) OVER w)[{i}]::DOUBLE) <= 0.002" for v, k in (("state", 4), ("action", 2)) for i in range(1, k + 1))
 _RUNS = f"""
 WITH frames AS (
@@ -184,6 +201,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p9_found": p9_found, "p9_stats": p9_stats, "p9_agreement": p9_agreement,
 }
 ORACLES = {
     "p2_found": f"{_RUNS} SELECT episode_index, min(frame_index) AS first_frame, max(frame_index) AS last_frame FROM numbered GROUP BY episode_index, run HAVING count(*) > 1",
