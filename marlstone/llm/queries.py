@@ -14,6 +14,7 @@ from marlstone.llm.sampling import pivotal_sample, strata_report
 from marlstone.llm.splits import assign_splits, entity_groups, split_name, torn_entities
 from marlstone.llm.tokens import decode, encode
 from marlstone.llm.topn import top_n
+from marlstone.llm.truncation import cut_rows
 from marlstone.session import stored, table
 
 SQL_SQUEEZE = r"lower(regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
@@ -25,6 +26,20 @@ current_clips AS (
   WHERE rn = 1)"""
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return cut_rows(table(spark, d, "stages"), "clip_row", "vlm_description", "source")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).where("cut").select(F.col("id").alias("clip_row"))
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, cut texts and their share per source (null source as a group)."""
+    n = F.count(F.lit(1))
+    return _cut(spark, d).groupBy("source").agg(n.alias("texts"), F.count_if("cut").alias("cut_texts"), (F.count_if("cut") / n).alias("share"))
+
+
 def _runs(spark: SparkSession, d: str, least: int) -> DataFrame:
     return collapse_runs(table(spark, d, "lerobot_datasource"), "episode_index", "frame_index", "timestamp", ["state", "action"], "logged_at", least=least)
 
@@ -198,6 +213,7 @@ numbered AS (
   SELECT *, sum(CASE WHEN alike THEN 0 ELSE 1 END) OVER (PARTITION BY episode_index ORDER BY frame_index) AS run FROM marked)"""
 
 QUERIES = {
+    "p1_found": p1_found, "p1_sources": p1_sources,
     "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
