@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 HTML = r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)[ ]*>|<!--.*?-->|</?[a-z][^<>]*>"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -45,7 +46,7 @@ def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fix_unicode(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -62,7 +63,7 @@ def repaired(x: str) -> str:
     return back if len(back) < len(x) else x
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fix_mojibake(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", repaired(x)))
 
@@ -94,7 +95,7 @@ def repetition(text: str | None, n: int) -> float | None:
 
 
 def char_repetition(c: Column, n: int = 10) -> Column:
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def ratio(s: pd.Series) -> pd.Series:
         return s.map(lambda x: repetition(x, n))
 

@@ -2,5 +2,395 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as T
+from marlstone.operators import basics, clips, feed, temporal
+from marlstone.operators.dedup import duplicate_classes
+from marlstone.plans import episodes as E
+from marlstone.plans import pipeline
+from marlstone.session import table
+from marlstone.streaming.incremental import stream_clean
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- text ----------------------------------------------------------------
+
+
+def _sql_html(c: str) -> str:
+    out = f"regexp_replace({c}, '{T.HTML}', '', 'g')"
+    for entity, char in T.ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+SQL_SPACE = f"trim(regexp_replace(text, '{T.SPACES}', ' ', 'g'))"
+
+
+def _sql_ratio(c: str, pattern: str) -> str:
+    return f"length(regexp_replace({c}, '{pattern}', '', 'g')) / nullif(length({c}), 0)"
+
+
+ALNUM, SPECIAL = _sql_ratio("text", T.NOT_ALNUM), _sql_ratio("text", T.ORDINARY)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+@query(f"""
+WITH clean AS (SELECT lang, {SQL_SPACE} AS t FROM documents),
+kept AS (SELECT lang, length(t) AS n, {_sql_ratio("t", T.NOT_ALNUM)} AS a FROM clean WHERE length(t) BETWEEN 50 AND 10000)
+SELECT lang, count(*) AS docs, round(avg(n), 6) AS avg_chars, round(avg(a), 6) AS avg_alnum FROM kept WHERE a BETWEEN 0.6 AND 0.95 GROUP BY lang""")
+def text_profile(spark: SparkSession, d: str) -> DataFrame:
+    clean = _docs(spark, d).select("lang", T.normalize_whitespace(F.col("text")).alias("t"))
+    kept = clean.where(T.length_between(F.col("t"))).withColumn("a", T.alnum_ratio(F.col("t"))).where(F.col("a").between(0.6, 0.95))
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg(F.length("t")), 6).alias("avg_chars"), F.round(F.avg("a"), 6).alias("avg_alnum"))
+
+
+def _mapper(name: str, sql: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return _docs(spark, d).select("doc_id", pipeline.MAPPERS[name](F.col("text")).alias("text"))
+
+    QUERIES[name] = f
+    ORACLES[name] = f"SELECT doc_id, {sql} AS text FROM documents"
+
+
+_mapper("clean_html", _sql_html("text"))
+_mapper("clean_links", f"regexp_replace(text, '{T.LINKS}', '', 'g')")
+_mapper("clean_email", f"regexp_replace(text, '{T.EMAILS}', '', 'g')")
+_mapper("normalize_whitespace", SQL_SPACE)
+_mapper("fix_unicode", "nfc_normalize(text)")
+
+
+@query()
+def fix_mojibake(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.fix_mojibake(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 50 AND 10000")
+def text_length(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where(T.length_between(F.col("text"))).select("doc_id")
+
+
+@query(f"SELECT doc_id, round({ALNUM}, 9) AS ratio FROM documents WHERE {ALNUM} BETWEEN 0.6 AND 0.95")
+def alnum_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.alnum_ratio(F.col("text")).alias("r")).where(F.col("r").between(0.6, 0.95)).select("doc_id", F.round("r", 9).alias("ratio"))
+
+
+@query(f"SELECT doc_id, round({SPECIAL}, 9) AS ratio FROM documents WHERE {SPECIAL} <= 0.25")
+def special_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.special_ratio(F.col("text")).alias("r")).where("r <= 0.25").select("doc_id", F.round("r", 9).alias("ratio"))
+
+
+@query("""
+WITH chars AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, array_to_string(c[i:i + 9], '') AS g FROM (SELECT doc_id, c, unnest(range(1, len(c) - 8)) AS i FROM chars WHERE len(c) >= 10)),
+counted AS (SELECT doc_id, g, count(*) AS n FROM grams GROUP BY ALL),
+ranked AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r, count(*) OVER (PARTITION BY doc_id) AS kinds,
+  count(*) FILTER (n = 1) OVER (PARTITION BY doc_id) AS single, sum(n) OVER (PARTITION BY doc_id) AS total FROM counted)
+SELECT doc_id, round(coalesce(r.ratio, 0), 9) AS ratio FROM chars LEFT JOIN
+  (SELECT doc_id, sum(CASE WHEN r <= least(floor(sqrt(kinds)), kinds - single) THEN n ELSE 0 END) / any_value(total) AS ratio FROM ranked GROUP BY doc_id) r USING (doc_id)""")
+def char_repetition(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", F.round(T.char_repetition(F.col("text"), 10), 9).alias("ratio"))
+
+
+@query()
+def minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a text and the least id of its class."""
+    return duplicate_classes(_docs(spark, d), "doc_id", "text")
+
+
+@query()
+def text_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaning, filters and near-duplicate removal in their default order."""
+    return pipeline.run(_docs(spark, d).select("doc_id", "lang", "source", "text"), pipeline.DEFAULT)
+
+
+@query(f"SELECT doc_id, {SQL_SPACE} AS text FROM documents WHERE length({SQL_SPACE}) BETWEEN 50 AND 10000")
+def stream_text(spark: SparkSession, d: str) -> DataFrame:
+    """Incremental cleaning of arriving files with Structured Streaming."""
+    return stream_clean(spark, f"{d}/documents.parquet*", table(spark, d, "documents").schema)
+
+
+# ---- relational basics ---------------------------------------------------
+
+
+@query("""
+SELECT 'l_quantity' AS "column", count(l_quantity)::DOUBLE AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS stddev, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem
+UNION ALL SELECT 'l_extendedprice', count(l_extendedprice)::DOUBLE, round(avg(l_extendedprice), 6), round(stddev_samp(l_extendedprice), 6), min(l_extendedprice), max(l_extendedprice) FROM lineitem""")
+def describe_numeric(spark: SparkSession, d: str) -> DataFrame:
+    out = basics.describe(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
+
+
+@query("SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
+def group_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").count()
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit_price FROM lineitem")
+def ratio_column(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(basics.ratio("l_extendedprice", "l_quantity"), 6).alias("unit_price"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 35")
+def filter_gt(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_quantity > 35").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT event_id, ts, value FROM events ORDER BY event_id LIMIT 100")
+def limit_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The first 100 events by id: the limit is the operator."""
+    return table(spark, d, "events").orderBy("event_id").limit(100).select("event_id", "ts", "value")
+
+
+@query("SELECT event_id AS id, user_id AS actor, value FROM events")
+def rename_drop(spark: SparkSession, d: str) -> DataFrame:
+    return basics.rename(table(spark, d, "events"), {"event_id": "id", "user_id": "actor", "absent": "x"}).drop("props", "ts", "event_type")
+
+
+@query("SELECT i AS id, i * i AS square FROM range(100) t(i)")
+def square_map(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(100).select("id", (F.col("id") * F.col("id")).alias("square"))
+
+
+@query("SELECT DISTINCT event_type, user_id FROM events")
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_type", "user_id").distinct()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)")
+def anti_join(spark: SparkSession, d: str) -> DataFrame:
+    big = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").join(big, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS orders
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02 00:00:00'")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(net), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count(F.lit(1)).alias("orders"))
+
+
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""")
+def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda name: table(spark, d, name)
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# ---- episodes ------------------------------------------------------------
+
+SQL_EPS = """
+WITH eps AS (SELECT DISTINCT * FROM episodes),
+off AS (SELECT *, (t - coalesce(length, 0))::BIGINT AS from_index, t AS to_index FROM (SELECT *, sum(coalesce(length, 0)) OVER (PARTITION BY dataset_index ORDER BY episode_index)::BIGINT AS t FROM eps))"""
+SQL_SLICES = SQL_EPS + """,
+slices AS (SELECT dataset_index, from_index AS start, to_index AS "end" FROM off WHERE to_index > from_index),
+assigned AS (SELECT *, (ntile(8) OVER (ORDER BY dataset_index, start, "end") - 1)::INTEGER AS task FROM slices)"""
+
+
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    return E.offsets(table(spark, d, "episodes"))
+
+
+@query(f"{SQL_EPS} SELECT dataset_index, episode_index, from_index, to_index FROM off")
+def episode_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return _offsets(spark, d).select("dataset_index", "episode_index", "from_index", "to_index")
+
+
+@query("""
+WITH eps AS (SELECT DISTINCT dataset_index, episode_index FROM episodes), p AS (SELECT *, lag(episode_index) OVER (PARTITION BY dataset_index ORDER BY episode_index) AS previous FROM eps)
+SELECT * FROM p WHERE episode_index <> coalesce(previous + 1, 0)""")
+def contiguity(spark: SparkSession, d: str) -> DataFrame:
+    return E.gaps(table(spark, d, "episodes"))
+
+
+@query("""
+WITH eps AS (SELECT DISTINCT * FROM episodes)
+SELECT dataset_index, episode_index, coalesce(videos_top_chunk_index IS DISTINCT FROM lag(videos_top_chunk_index) OVER w OR videos_top_file_index IS DISTINCT FROM lag(videos_top_file_index) OVER w, true) OR row_number() OVER w = 1 AS opens
+FROM eps WINDOW w AS (PARTITION BY dataset_index ORDER BY episode_index)""")
+def segment_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return E.boundaries(table(spark, d, "episodes"), "top")
+
+
+@query(f'{SQL_EPS} SELECT dataset_index, min(from_index) AS start, max(to_index) AS "end" FROM off GROUP BY 1')
+def part_sequential(spark: SparkSession, d: str) -> DataFrame:
+    return E.sequential(_offsets(spark, d))
+
+
+@query(f'{SQL_SLICES} SELECT * FROM slices')
+def part_episode(spark: SparkSession, d: str) -> DataFrame:
+    return E.by_episode(_offsets(spark, d))
+
+
+@query(f"""{SQL_EPS}, g AS (SELECT dataset_index, videos_top_chunk_index, videos_top_file_index, videos_wrist_chunk_index, videos_wrist_file_index,
+  min(from_index) AS start, max(to_index) AS "end", sum(coalesce(length, 0))::BIGINT AS rows FROM off GROUP BY ALL) SELECT *, "end" - start = rows AS adjacent FROM g""")
+def part_file_group(spark: SparkSession, d: str) -> DataFrame:
+    return E.by_files(_offsets(spark, d))
+
+
+@query(f"""{SQL_EPS.replace("WITH", "WITH RECURSIVE")},
+uses AS (SELECT dataset_index AS ds, episode_index AS e, 'top' AS cam, videos_top_chunk_index AS c, videos_top_file_index AS f FROM eps UNION ALL SELECT dataset_index, episode_index, 'wrist', videos_wrist_chunk_index, videos_wrist_file_index FROM eps),
+links AS (SELECT DISTINCT a.ds, a.e AS x, b.e AS y FROM uses a JOIN uses b ON a.ds = b.ds AND a.cam = b.cam AND a.c = b.c AND a.f = b.f),
+reach AS (SELECT ds, x, x AS y FROM links UNION SELECT r.ds, r.x, l.y FROM reach r JOIN links l ON r.ds = l.ds AND r.y = l.x),
+label AS (SELECT ds, x, min(y) AS chain FROM reach GROUP BY ALL)
+SELECT dataset_index, chain, count(*) AS episodes, min(from_index) AS start, max(to_index) AS "end", sum(coalesce(length, 0))::BIGINT AS rows FROM off JOIN label ON ds = dataset_index AND x = episode_index GROUP BY 1, 2""")
+def part_chain(spark: SparkSession, d: str) -> DataFrame:
+    return E.by_chain(_offsets(spark, d))
+
+
+@query(f"""{SQL_EPS}, total AS (SELECT dataset_index, max(to_index) AS total FROM off GROUP BY 1)
+SELECT dataset_index, start, least(start + 1000, total)::BIGINT AS "end" FROM (SELECT dataset_index, total, unnest(range(0, total, 1000)) AS start FROM total WHERE total > 0)""")
+def part_row_block(spark: SparkSession, d: str) -> DataFrame:
+    return E.by_blocks(_offsets(spark, d), 1000)
+
+
+@query(f'{SQL_SLICES} SELECT task, count(*) AS slices, sum("end" - start)::BIGINT AS rows FROM assigned GROUP BY task')
+def plan_ntile(spark: SparkSession, d: str) -> DataFrame:
+    return E.tasks(E.by_episode(_offsets(spark, d)), 8).groupBy("task").agg(F.count(F.lit(1)).alias("slices"), F.sum(F.col("end") - F.col("start")).alias("rows"))
+
+
+@query(f"""{SQL_SLICES}, marked AS (SELECT *, CASE WHEN lag("end") OVER w = start THEN 0 ELSE 1 END AS o FROM assigned WINDOW w AS (PARTITION BY task, dataset_index ORDER BY start, "end")),
+grouped AS (SELECT *, sum(o) OVER (PARTITION BY task, dataset_index ORDER BY start, "end") AS g FROM marked)
+SELECT task, dataset_index, min(start) AS start, max("end") AS "end" FROM grouped GROUP BY task, dataset_index, g""")
+def merge_segments(spark: SparkSession, d: str) -> DataFrame:
+    return E.merged(E.tasks(E.by_episode(_offsets(spark, d)), 8))
+
+
+@query("SELECT root, episode_index, length FROM (SELECT 0 AS root, * FROM (SELECT DISTINCT * FROM episodes) UNION ALL SELECT 1, * FROM (SELECT DISTINCT * FROM episodes))")
+def multi_root_union(spark: SparkSession, d: str) -> DataFrame:
+    one = table(spark, d, "episodes").distinct()
+    return one.withColumn("root", F.lit(0)).unionByName(one.withColumn("root", F.lit(1))).select("root", "episode_index", "length")
+
+
+@query('SELECT "index", episode_index, frame_index, l.task_index, task FROM lerobot_datasource l JOIN tasks t ON l.task_index = t.task_index')
+def task_join(spark: SparkSession, d: str) -> DataFrame:
+    """Lookup of the task text; the tasks table is fixed and small (40 rows)."""
+    return table(spark, d, "lerobot_datasource").select("index", "episode_index", "frame_index", "task_index").join(F.broadcast(table(spark, d, "tasks")), "task_index")
+
+
+@query(f"""{SQL_EPS}, total AS (SELECT dataset_index, max(to_index) AS total FROM off GROUP BY 1),
+blocks AS (SELECT dataset_index, start, least(start + 1000, total)::BIGINT AS "end" FROM (SELECT dataset_index, total, unnest(range(0, total, 1000)) AS start FROM total WHERE total > 0))
+SELECT b.dataset_index, start, "end", episode_index FROM blocks b JOIN off o ON b.dataset_index = o.dataset_index AND from_index < "end" AND to_index > start WHERE to_index > from_index""")
+def range_overlap(spark: SparkSession, d: str) -> DataFrame:
+    off = _offsets(spark, d).select("dataset_index", "episode_index", "from_index", "to_index")
+    return temporal.range_overlap(E.by_blocks(off, 1000), off, ["dataset_index"], ("start", "end"), ("from_index", "to_index"), 1000).select("dataset_index", "start", "end", "episode_index")
+
+
+@query("""
+WITH want AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type <> 'purchase'),
+frames AS (SELECT user_id, epoch_us(ts) / 1e6 AS ft, event_id AS frame_id FROM events WHERE event_type = 'purchase')
+SELECT event_id, w.user_id, round(ft, 6) AS frame_time, frame_id FROM want w ASOF LEFT JOIN frames f ON w.user_id = f.user_id AND w.t - 0.5 <= f.ft""")
+def asof_frame(spark: SparkSession, d: str) -> DataFrame:
+    """For each event the user's next purchase, half a second of slack allowed."""
+    t = table(spark, d, "events").select("event_id", "user_id", "event_type", (F.unix_micros("ts") / 1e6).alias("t"))
+    frames = t.where("event_type = 'purchase'").select("user_id", F.col("t").alias("ft"), F.col("event_id").alias("frame_id"))
+    out = temporal.asof_forward(t.where("event_type <> 'purchase'").drop("event_type"), frames, ["user_id"], "t", "ft", 0.5, ["frame_id"])
+    return out.select("event_id", "user_id", F.round("frame_time", 6).alias("frame_time"), "frame_id")
+
+
+@query("""
+WITH x AS (SELECT 'state' AS feature, i - 1 AS dim, state[i]::DOUBLE AS v FROM lerobot_datasource, range(1, 5) r(i) UNION ALL SELECT 'action', i - 1, action[i]::DOUBLE FROM lerobot_datasource, range(1, 3) r(i))
+SELECT feature, dim::INTEGER AS dim, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM x WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL""")
+def feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lerobot_datasource").select(F.col("state").cast("array<double>").alias("state"), F.col("action").cast("array<double>").alias("action"))
+    return feed.feature_stats(rows, ["state", "action"]).withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+# ---- clips ---------------------------------------------------------------
+
+
+@query("""
+WITH n AS (SELECT user_id, row_number() OVER w - 1 AS n, coalesce(abs(value - lag(value) OVER w) > 60, true)::INT AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY n) - 1 AS clip_index FROM n)
+SELECT user_id, clip_index::BIGINT AS clip_index, min(n) AS start_frame, max(n) + 1 AS end_frame, max(n) + 1 - min(n) AS clip_num_frames FROM s GROUP BY user_id, clip_index HAVING max(n) + 1 - min(n) >= 5""")
+def scene_clips(spark: SparkSession, d: str) -> DataFrame:
+    return clips.scene_clips(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 60.0, 5)
+
+
+@query("""
+SELECT clip_row, CASE WHEN k <= 1 THEN [start_frame] ELSE list_transform(range(k), lambda i: floor(start_frame + i * ((end_frame - 1 - start_frame) / (k - 1)))::BIGINT) END AS frames
+FROM (SELECT *, least(3, greatest(clip_num_frames, 1)) AS k FROM stages)""")
+def keyframe_indices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stages").select("clip_row", clips.keyframes(F.col("start_frame"), F.col("end_frame"), F.col("end_frame"), 3).alias("frames"))
+
+
+@query("""
+SELECT clip_row FROM stages WHERE clip_duration_sec >= 1.0 AND brightness BETWEEN 30 AND 240 AND contrast >= 20 AND sharpness >= 50 AND motion_score >= 0.5
+  AND NOT isnan(clip_duration_sec) AND NOT isnan(brightness) AND NOT isnan(contrast) AND NOT isnan(sharpness) AND NOT isnan(motion_score)""")
+def quality_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stages").where(clips.good_quality()).select("clip_row")
+
+
+@query("SELECT * FROM (SELECT clip_row, video_id, clip_index, category FROM stages WHERE is_safe)")
+def safe_clips(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stages").where("is_safe").select("clip_row", "video_id", "clip_index", "category")
+
+
+@query(r"""
+WITH b AS (SELECT clip_row, trim(coalesce(vlm_description, '')) AS t FROM stages),
+bare AS (SELECT clip_row, CASE WHEN starts_with(t, '```') THEN trim(regexp_replace(regexp_replace(t, '^```[^\n ]*[\n ]?', ''), '(?s)```.*$', '')) ELSE t END AS t FROM b),
+parsed AS (SELECT clip_row, t, CASE WHEN starts_with(t, '{') AND json_valid(t) THEN t::JSON END AS j FROM bare)
+SELECT clip_row, coalesce(CASE WHEN j IS NOT NULL THEN j ->> 'category' END, 'other') AS category,
+  coalesce(CASE WHEN lower(j ->> 'is_safe') IN ('true', 'false') THEN lower(j ->> 'is_safe') = 'true' END, true) AS is_safe,
+  CASE WHEN j IS NOT NULL THEN coalesce(j ->> 'description', '') ELSE substr(t, 1, 200) END AS description, coalesce(j ->> 'visual_quality', 'medium') AS quality
+FROM parsed""")
+def vlm_parse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stages").select("clip_row", clips.parsed_reply(F.col("vlm_description")).alias("r")).select("clip_row", "r.*")
+
+
+@query("""
+WITH u AS (SELECT label, i, embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS v FROM embeddings, range(1, 65) r(i) WHERE embedding IS NOT NULL),
+m AS (SELECT label, i, round(avg(v), 6) AS v FROM u WHERE v IS NOT NULL GROUP BY ALL)
+SELECT label, list(v ORDER BY i) AS embedding FROM m GROUP BY label""")
+def embed_pool(spark: SparkSession, d: str) -> DataFrame:
+    return clips.pooled_embedding(table(spark, d, "embeddings"), "label", "embedding", 6)
+
+
+# ---- training feed -------------------------------------------------------
+
+
+@query("SELECT vec_id, list_transform(range(64), lambda i: round(embedding[(i % 16) * 4 + i // 16 + 1]::DOUBLE / 255, 9)) AS chw FROM embeddings")
+def chw_transpose(spark: SparkSession, d: str) -> DataFrame:
+    chw = feed.hwc_to_chw(F.col("embedding"), 4, 4, 4)
+    return table(spark, d, "embeddings").select("vec_id", F.transform(chw, lambda x: F.round(x, 9)).alias("chw"))
+
+
+@query("SELECT i::BIGINT AS step, round(CASE WHEN i < 100 THEN 0.001 * (i + 1) / 100 ELSE 0.001 * 0.5 * (1 + cos(pi() * least((i - 100) / 900, 1.0))) END, 12) AS lr FROM range(1001) t(i)")
+def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1001).select(F.col("id").alias("step"), F.round(feed.learning_rate(F.col("id"), 1000, 100, 0.001), 12).alias("lr"))
+
+
+@query("""
+SELECT i::BIGINT AS second, CASE WHEN i < 120 THEN floor(10 + 40.0 * i / 120) WHEN i < 360 THEN 50 WHEN i < 480 THEN floor(50 - 40.0 * (i - 360) / 120) WHEN i < 720 THEN 10 WHEN i < 840 THEN floor(10 + 40.0 * (i - 720) / 120) END::INTEGER AS users FROM range(840) t(i)""")
+def traffic_shape(spark: SparkSession, d: str) -> DataFrame:
+    shape = [(0.0, 10.0), (120.0, 50.0), (360.0, 50.0), (480.0, 10.0), (720.0, 10.0), (840.0, 50.0)]
+    return spark.range(840).select(F.col("id").alias("second"), feed.piecewise_linear(F.col("id"), shape).alias("users"))
+
+
+@query('SELECT "index", episode_index, frame_index, "timestamp"::FLOAT AS "timestamp", task_index::BIGINT AS task_index, list_slice(state, 1, 3) AS state FROM lerobot_datasource')
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lerobot_datasource").select("index", "episode_index", "frame_index", "timestamp", "task_index", feed.truncated(F.col("state"), 3).alias("state"))
+    return feed.collate_casts(rows)

@@ -60,14 +60,19 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
+def track(spark: SparkSession, path: str) -> str:
+    """`path`, to be removed when the driver ends."""
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it back: cuts
     the lineage, survives the loss of executors, keeps column pruning. The
     files are removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone-{label}-{uuid.uuid4().hex}"
+    path = track(spark, f"{shared_dir(spark)}/marlstone-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
