@@ -28,23 +28,28 @@ def score_bucket(score: Column) -> Column:
     return F.when(score < 0, -mag).otherwise(mag)
 
 
-def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[Column], spread: Column, salts: int = SALTS) -> DataFrame:
-    """The n rows of each group with the highest `score`, then by `ties`;
-    `spread` is any expression that varies inside a group (for salting). Adds
-    the column `rank`."""
-    value = F.col(score).cast("double")
-    ranked = df.where(value.isNotNull() & ~F.isnan(value)).withColumn("_bucket", score_bucket(value))
-    hist = ranked.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    down = Window.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+def top_n(df: DataFrame, group: list[str], score: str, n: int, ties: list[tuple[str, bool]], spread: str, salts: int = SALTS, rank: str = "rank") -> DataFrame:
+    """The n rows of each group with the highest `score`; ties go by `ties`, pairs
+    of column and whether its highest value wins (nulls last). `spread` is a
+    column that varies inside a group, for salting. All columns of `df` come
+    back, whatever their names, with `rank` added (an input column of that name
+    is replaced)."""
+    groups, keys = [f"g{i}" for i in range(len(group))], [f"t{i}" for i in range(len(ties))]
+    rows = df.select(
+        *[F.col(c).alias(g) for c, g in zip(group, groups, strict=True)], F.col(score).cast("double").alias("s"), *[F.col(c).alias(t) for (c, _), t in zip(ties, keys, strict=True)],
+        F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("salt"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != rank]).alias("row"),
+    )
+    ranked = rows.where("s is not null and not isnan(s)").withColumn("bucket", score_bucket(F.col("s")))
+    hist = ranked.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy(*groups).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     bars = (
-        hist.withColumn("_above", F.coalesce(F.sum("_n").over(down), F.lit(0)))
-        .where(F.col("_above") < n)
-        .groupBy(*group)
-        .agg(F.min("_bucket").alias("_bar"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hist.withColumn("above", F.coalesce(F.sum("n").over(down), F.lit(0)))
+        .where(F.col("above") < n)
+        .groupBy(*[F.col(g).alias(f"b{g}") for g in groups])
+        .agg(F.min("bucket").alias("bar"))
+        .withColumn("bsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    salted = ranked.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    on = [salted[g].eqNullSafe(bars[g]) for g in group] + [salted["_salt"] == bars["_salt"]]
-    kept = salted.join(bars, on, "inner").where(F.col("_bucket") >= F.col("_bar")).select(*[salted[c] for c in df.columns])
-    order = Window.partitionBy(*group).orderBy(F.col(score).desc(), *ties)
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    on = [F.col(g).eqNullSafe(F.col(f"b{g}")) for g in groups] + [F.col("salt") == F.col("bsalt")]
+    kept = ranked.join(bars, on).where("bucket >= bar")
+    order = Window.partitionBy(*groups).orderBy(F.desc("s"), *[F.desc_nulls_last(t) if high else F.asc_nulls_last(t) for t, (_, high) in zip(keys, ties, strict=True)])
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("row.*", F.col("place").alias(rank))
