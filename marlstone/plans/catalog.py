@@ -145,9 +145,9 @@ def group_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").count()
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit_price FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS unit_price FROM lineitem")
 def ratio_column(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(basics.ratio("l_extendedprice", "l_quantity"), 6).alias("unit_price"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", basics.ratio("l_extendedprice", "l_quantity").alias("unit_price"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 35")
@@ -305,7 +305,7 @@ frames AS (SELECT user_id, epoch_us(ts) / 1e6 AS ft, event_id AS frame_id FROM e
 SELECT event_id, w.user_id, round(ft, 6) AS frame_time, frame_id FROM want w ASOF LEFT JOIN frames f ON w.user_id = f.user_id AND w.t - 0.5 <= f.ft""")
 def asof_frame(spark: SparkSession, d: str) -> DataFrame:
     """For each event the user's next purchase, half a second of slack allowed."""
-    t = table(spark, d, "events").select("event_id", "user_id", "event_type", (F.unix_micros("ts") / 1e6).alias("t"))
+    t = table(spark, d, "events").select("event_id", "user_id", "event_type", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 1e6).alias("t"))
     frames = t.where("event_type = 'purchase'").select("user_id", F.col("t").alias("ft"), F.col("event_id").alias("frame_id"))
     out = temporal.asof_forward(t.where("event_type <> 'purchase'").drop("event_type"), frames, ["user_id"], "t", "ft", 0.5, ["frame_id"])
     return out.select("event_id", "user_id", F.round("frame_time", 6).alias("frame_time"), "frame_id")
