@@ -117,7 +117,7 @@ def ordered_batches(df: DataFrame, key: str, size: int, run: Callable[[list], li
                 out += run(pdf[value].iloc[i : i + size].tolist())
             yield pd.DataFrame({key: pdf[key], "result": out})
 
-    return df.select(key, value).mapInPandas(local, schema)
+    return df.select(*dict.fromkeys([key, value])).mapInPandas(local, schema)
 
 
 def evenly(df: DataFrame, order: list[str], groups: int) -> DataFrame:
