@@ -94,6 +94,21 @@ def _metric_values(spark: SparkSession, d: str) -> DataFrame:
     return long_values(stages, ["category", "day"], METRICS).groupBy("category", "day", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p4_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of each single day and, with a null day, of all days
+    together, and the interval that the (combined) summaries alone give."""
+    keys = ["day", "category", "metric"]
+    values = stored(_metric_values(spark, d), "values")
+    daily = stored(summaries(values, keys), "daily")
+    every = combined(daily, keys[1:]).withColumn("day", F.lit(None).cast("date"))
+    start = stored(located(daily.where("day is not null").unionByName(every), keys, PERMILLES), "located")
+    both = values.where("day is not null").unionByName(values.withColumn("day", F.lit(None).cast("date")))
+    exact = bisect(both, start, keys)
+    bounds = start.withColumnsRenamed({k: f"_{k}" for k in [*keys, "permille"]})
+    on = [exact[k].eqNullSafe(bounds[f"_{k}"]) for k in [*keys, "permille"]]
+    return exact.join(bounds, on).select(*keys, "permille", exact["total"], "value", F.col("lo").alias("summary_low"), F.col("hi").alias("summary_high"))
+
+
 def p4_daily(spark: SparkSession, d: str) -> DataFrame:
     """Summaries of single days; they add up over any set of days."""
     return summaries(_metric_values(spark, d), ["day", "category", "metric"])
@@ -214,7 +229,7 @@ numbered AS (
 
 QUERIES = {
     "p1_found": p1_found, "p1_sources": p1_sources,
-    "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
+    "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_by_day": p4_by_day, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_stats": p9_stats, "p9_agreement": p9_agreement,
@@ -246,6 +261,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY category, metric ORDER BY v
     CASE WHEN value < 0 THEN -floor(log2(1 + abs(value)) * 64) - 1 ELSE floor(log2(1 + abs(value)) * 64) END AS bucket FROM vals),
 spans AS (SELECT *, min(value) OVER (PARTITION BY category, metric, bucket) AS lo, max(value) OVER (PARTITION BY category, metric, bucket) AS hi FROM ranked)
 SELECT category, metric, p.permille::INTEGER AS permille, total, value, lo AS summary_low, hi AS summary_high
+FROM spans, (SELECT unnest({PERMILLES}) AS permille) p WHERE r = greatest(1, (p.permille * total + 999) // 1000)""",
+    "p4_by_day": f"""
+WITH vals AS (
+  SELECT {SQL_SQUEEZE.format("category")} AS category, d.day, m.metric, m.value FROM stages, LATERAL (SELECT processed_at::DATE AS day WHERE processed_at IS NOT NULL UNION ALL SELECT NULL) d,
+    LATERAL (SELECT unnest([{{'metric': 'brightness', 'value': CASE WHEN brightness >= 0 THEN brightness END}}, {{'metric': 'contrast', 'value': CASE WHEN contrast > 0 THEN contrast END}}, {{'metric': 'sharpness', 'value': CASE WHEN sharpness >= 0 THEN sharpness END}}], recursive := true)) m
+  WHERE m.value IS NOT NULL AND NOT isnan(m.value)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY day, category, metric ORDER BY value) AS r, count(*) OVER (PARTITION BY day, category, metric) AS total,
+    CASE WHEN value < 0 THEN -floor(log2(1 + abs(value)) * 64) - 1 ELSE floor(log2(1 + abs(value)) * 64) END AS bucket FROM vals),
+spans AS (SELECT *, min(value) OVER (PARTITION BY day, category, metric, bucket) AS lo, max(value) OVER (PARTITION BY day, category, metric, bucket) AS hi FROM ranked)
+SELECT day, category, metric, p.permille::INTEGER AS permille, total, value, lo AS summary_low, hi AS summary_high
 FROM spans, (SELECT unnest({PERMILLES}) AS permille) p WHERE r = greatest(1, (p.permille * total + 999) // 1000)""",
     "p6_found": f"""
 WITH draft AS (
