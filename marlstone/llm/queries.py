@@ -128,7 +128,7 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    clips = current_clips(table(spark, d, "stages"), "sharpness", "motion_score").where("sharpness >= 0 and not isnan(sharpness)")
+    clips = stored(current_clips(table(spark, d, "stages"), "sharpness", "motion_score"), "clips").where("sharpness >= 0 and not isnan(sharpness)")
     best = top_n(clips.select("video_id", "clip_index", "sharpness", "motion_score"), ["video_id"], "sharpness", 3, [("motion_score", True), ("clip_index", False)], "clip_index")
     return best.select("video_id", "clip_index")
 

@@ -101,7 +101,6 @@ def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
 
 def pivotal_sample(rows: DataFrame, total_rows: int, seed: int = 17) -> DataFrame:
     """`id` of the sampled rows of `rows` (id bigint unique, stratum int, p double)."""
-    chunks = max(1, -(-total_rows // CHUNK_ROWS))
     out = "id bigint, stratum int, p double, taken boolean"
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,10 +123,20 @@ def pivotal_sample(rows: DataFrame, total_rows: int, seed: int = 17) -> DataFram
         taken += t + ([rest[0]] if rest and rest[1] > 0.5 else [])
         return pd.DataFrame({"id": taken})
 
-    spread = rows.repartition(chunks, F.xxhash64("id")).sortWithinPartitions("stratum", "id")
-    decided = stored(spread.mapInPandas(local, out), "duels")
-    rest = decided.where("not taken").groupBy(F.lit(0).alias("_")).applyInPandas(across, "id bigint")  # one row per chunk and stratum
-    return decided.where("taken").select("id").unionByName(rest)
+    cur, n, taken = rows.select("id", "stratum", "p"), total_rows, []
+    while True:  # each round leaves one row per chunk and stratum
+        chunks = max(1, -(-n // CHUNK_ROWS))
+        spread = cur.repartition(chunks, F.xxhash64("id")).sortWithinPartitions("stratum", "id")
+        decided = stored(spread.mapInPandas(local, out), "duels")
+        taken.append(decided.where("taken").select("id"))
+        cur, before = decided.where("not taken").drop("taken"), n
+        n = cur.count()
+        if n <= CHUNK_ROWS or n >= before:
+            break
+    rest = cur.groupBy(F.lit(0).alias("_")).applyInPandas(across, "id bigint")
+    for part in taken:
+        rest = rest.unionByName(part)
+    return rest
 
 
 def strata_report(rows: DataFrame, strata: list[str], targets: list[dict], one_in: int = 10) -> list[dict]:
