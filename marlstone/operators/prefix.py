@@ -1,24 +1,48 @@
-"""Running sums over groups of any size."""
+"""Running sums and predecessors in groups of any size.
+
+Rows are range-partitioned by group and order, so a group may span many tasks.
+What a chunk needs from the ones before it is one row per chunk and group. Input
+columns may have any names; the new column replaces one of the same name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.session import stored
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """`df` with the sum of `value` over the rows of `group` up to this one in
-    `order`. Rows are range-partitioned, so a group may span many tasks: sums
-    inside a chunk are windowed, and chunk totals (one per chunk and group) are
-    added up before them."""
+def _chunks(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> tuple[DataFrame, list[str], list[str]]:
+    """g0.., o0.., v, row (the input without `name`), chunk."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stored(df.repartitionByRange(parts, *group, *order).withColumn("_chunk", F.spark_partition_id()), "chunks")
-    inner = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunks.groupBy(*group, "_chunk").agg(F.sum(value).alias("_total"))
-    before = totals.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_chunk").alias("_c"), F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
-    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col("_chunk") == F.col("_c")]
-    summed = chunks.withColumn("_inner", F.sum(value).over(inner)).join(before, on)
-    return summed.withColumn(name, F.col("_inner") + F.col("_before")).select(*df.columns, name)
+    g, o = [f"g{i}" for i in range(len(group))], [f"o{i}" for i in range(len(order))]
+    flat = df.select(*[F.col(c).alias(a) for c, a in zip(group, g, strict=True)], *[F.col(c).alias(a) for c, a in zip(order, o, strict=True)], value.alias("v"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]).alias("row"))
+    return stored(flat.repartitionByRange(parts, *g, *o).withColumn("chunk", F.spark_partition_id()), "chunks"), g, o
+
+
+def _with_carry(chunks: DataFrame, carry: DataFrame, g: list[str]) -> DataFrame:
+    """`chunks` joined with `carry` (g.., chunk, carried)."""
+    named = carry.withColumnsRenamed({c: f"c{c}" for c in [*g, "chunk"]})
+    return chunks.join(named, [F.col(c).eqNullSafe(F.col(f"c{c}")) for c in g] + [F.col("chunk") == F.col("cchunk")])
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """`df` with the sum of `value` over the rows of `group` up to this one."""
+    chunks, g, o = _chunks(df, group, order, F.col(value), name)
+    inner = Window.partitionBy(*g, "chunk").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*g).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunks.groupBy(*g, "chunk").agg(F.sum("v").alias("total"))
+    carry = totals.select(*g, "chunk", F.coalesce(F.sum("total").over(across), F.lit(0)).alias("carried"))
+    summed = _with_carry(chunks.withColumn("own", F.sum("v").over(inner)), carry, g)
+    return summed.select("row.*", (F.col("own") + F.col("carried")).alias(name))
+
+
+def with_previous(df: DataFrame, group: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """`df` with `column` of the row before in `group`, null for the first."""
+    chunks, g, o = _chunks(df, group, order, F.struct(F.col(column).alias("x")), name)
+    inner = Window.partitionBy(*g, "chunk").orderBy(*o)
+    across = Window.partitionBy(*g).orderBy("chunk")
+    last = chunks.groupBy(*g, "chunk").agg(F.max_by("v", F.struct(*o)).alias("last"))
+    carry = last.select(*g, "chunk", F.lag("last").over(across).alias("carried"))
+    seen = _with_carry(chunks.withColumn("own", F.lag("v").over(inner)), carry, g)
+    return seen.select("row.*", F.coalesce("own", "carried")["x"].alias(name))

@@ -144,3 +144,16 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, long.strip()), (3, long.strip())]
     stream = first_seen(spark.readStream.format("rate").load(), ["value"], "timestamp", "1 minute")
     assert stream.isStreaming
+
+
+def test_previous_over_chunks_with_clashing_names(spark):
+    from marlstone.operators.prefix import with_previous
+
+    rows = [("a" if i % 3 else "b", i, None if i % 7 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, own int, carried int")
+    got = {r["own"]: r["row"] for r in with_previous(df, ["g"], ["own"], "carried", "row").collect()}
+    last, want = {}, {}
+    for g, i, v in rows:
+        want[i] = last.get(g)
+        last[g] = v
+    assert got == want
