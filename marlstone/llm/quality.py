@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
 TAG = regex.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|[a-z_]+\|>|&[a-z]{2,6};")
 #: Start of a list item, check box, table row, log line, contents line or stack frame.
-ITEM = regex.compile(r"^\s*(?:[-*•‣◦·▪+»o]\s|\(?\d{1,3}[.)]\s|\d{1,3}(?:\.\d{1,3})+\s|\(?[a-z][.)]\s|\[[ xX]?\]|[☐☑☒✓✔]|\||\[?\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d|at\s\S+\()|\s\|\s")
+ITEM = regex.compile(r"^\s*(?:[-*•‣◦·▪+»o]\s|\(?\d{1,3}[.)]\s|\d{1,3}(?:\.\d{1,3})+\s|\(?[a-z][.)]\s|\[(?:[ xX]?|\d{1,3})\]|[☐☑☒✓✔]|\||\[?\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d|at\s\S+\()|\s\|\s")
 #: A label with room for an answer, or a dotted leader.
 FORM = regex.compile(r"(?:_{3,}|\.{4,}\s*\d*|\[\s*\]|…{2,}\s*\d*)\s*$|^[^.!]{3,60}(?:[:=]\s*\S{0,12}|[?]\s*\S{0,4}|[?:=]\s*\S+ / \S+)\s*$")
 VISIBLE = regex.compile(r"[^\s\p{Z}\p{Cc}\p{Cf}]")
@@ -44,7 +44,7 @@ def running(unit: str, common: frozenset[str], stopped: bool, least: int = 4) ->
         return cjk >= (6 if stopped else 12) and len(KANA.findall(unit)) >= 0.25 * cjk
     words = WORD.findall(unit)
     n = len(words)
-    if n < (least if stopped else 8) or not stopped and (least > 4 or len(CELL.findall(unit)) > 1):
+    if n < (least if stopped else 8) or not stopped and (least > 4 or n < WORDS_PER_CELL * len(CELL.findall(unit))):
         return False
     small = sum(w.lower() in common for w in words)
     letters = sum(map(len, words))
@@ -52,6 +52,8 @@ def running(unit: str, common: frozenset[str], stopped: bool, least: int = 4) ->
 
 
 UNSTOPPED = 0.24
+#: With fewer words per cell separator a stretch without full stop is a row.
+WORDS_PER_CELL = 5
 #: A longer line is no form line.
 LONG_LINE = 400
 #: Shorter lines are not joined with the next.
