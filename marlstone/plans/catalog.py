@@ -337,6 +337,51 @@ def keyframe_indices(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stages").select("clip_row", clips.keyframes(F.col("start_frame"), F.col("end_frame"), F.col("end_frame"), 3).alias("frames"))
 
 
+@query("""
+SELECT clip_row, coalesce(nullif(fps, 0), 30.0) AS rate, least((start_frame + end_frame) // 2, end_frame - 1)::BIGINT AS mid, round(start_frame / coalesce(nullif(fps, 0), 30.0), 6) AS start_at,
+  substr(sha1(video_id), 1, 12) AS own_id, list_sort(list_distinct([start_frame, least((start_frame + end_frame) // 2, end_frame - 1), end_frame - 1])) AS needed FROM stages""")
+def clip_times(spark: SparkSession, d: str) -> DataFrame:
+    """Rate, middle frame, start in seconds, id from content and frames to fetch."""
+    start, end, rate = F.col("start_frame"), F.col("end_frame"), clips.frame_rate(F.col("fps"))
+    mid = clips.mid_frame(start, end, end)
+    return table(spark, d, "stages").select("clip_row", rate.alias("rate"), mid.alias("mid"), F.round(start / rate, 6).alias("start_at"), clips.video_id(F.col("video_id").cast("binary")).alias("own_id"), clips.fetch_list(F.array(start, mid), F.array(end - 1)).alias("needed"))
+
+
+@query('SELECT "index", episode_index, frame_index FROM lerobot_datasource WHERE frame_index % 20 = 0')
+def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lerobot_datasource").where(clips.sampled(F.col("frame_index"))).select("index", "episode_index", "frame_index")
+
+
+@query("""
+WITH h AS (SELECT label, vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS h FROM embeddings),
+w AS (SELECT *, lag(h) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM h)
+SELECT label, vec_id, b IS NULL OR coalesce(sqrt(greatest(0, 1 - list_sum(list_transform(list_zip(b, h), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(b) * list_sum(h)))) > 0.35, false) AS opens FROM w""")
+def histogram_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Scene cuts by histogram distance; magnitudes of embeddings stand in."""
+    frames = table(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("h"))
+    return clips.histogram_clips(frames, "label", ["vec_id"], "h", 0.35)
+
+
+@query("""
+SELECT o_orderkey AS key, o_totalprice AS size FROM orders WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, max(l_extendedprice) AS p FROM lineitem GROUP BY 1) WHERE l_orderkey = o_orderkey AND p = o_totalprice)""")
+def missing_or_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Listing difference by key and size."""
+    wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("size"))
+    present = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_extendedprice").alias("size"))
+    return basics.missing_or_changed(wanted, present, "key", "size")
+
+
+@query("SELECT clip_row, video_id, clip_index, fps, width, height FROM stages")
+def pass_through(spark: SparkSession, d: str) -> DataFrame:
+    return basics.pass_through(table(spark, d, "stages"), ["clip_row", "video_id", "absent", "clip_index", "fps", "width", "height"])
+
+
+@query("SELECT user_id, event_type FROM events WHERE value > 50 EXCEPT SELECT user_id, event_type FROM events WHERE value < 10")
+def set_difference(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.where("value > 50").select("user_id", "event_type").subtract(e.where("value < 10").select("user_id", "event_type"))
+
+
 @query("""
 SELECT clip_row FROM stages WHERE clip_duration_sec >= 1.0 AND brightness BETWEEN 30 AND 240 AND contrast >= 20 AND sharpness >= 50 AND motion_score >= 0.5
   AND NOT isnan(clip_duration_sec) AND NOT isnan(brightness) AND NOT isnan(contrast) AND NOT isnan(sharpness) AND NOT isnan(motion_score)""")

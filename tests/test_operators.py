@@ -157,3 +157,21 @@ def test_previous_over_chunks_with_clashing_names(spark):
         want[i] = last.get(g)
         last[g] = v
     assert got == want
+
+
+def test_image_signals_and_histograms(spark):
+    rng = np.random.default_rng(3)
+    gray = rng.integers(0, 256, (6, 8), dtype=np.uint8)
+    rgb = np.zeros((4, 4, 3), np.uint8)
+    rgb[:2, :, 0] = 200
+    rgb[2:, :, 1] = 100
+    df = spark.createDataFrame([(bytearray(gray.tobytes()), bytearray(rgb.tobytes())), (None, None)], "g binary, c binary")
+    got = df.select(clips.image_signals(F.col("g"), 6, 8).alias("s"), clips.color_histogram(F.col("c"), 4, 4).alias("h")).collect()
+    assert got[0]["s"]["brightness"] == pytest.approx(gray.mean()) and got[0]["s"]["contrast"] == pytest.approx(gray.astype(float).std())
+    flat = np.full((6, 8), 9, np.uint8)
+    assert spark.createDataFrame([(bytearray(flat.tobytes()),)], "g binary").select(clips.image_signals(F.col("g"), 6, 8).alias("s")).first()["s"]["sharpness"] == 0
+    h = np.array(got[0]["h"]).reshape(50, 60)
+    assert h.sum() == pytest.approx(1) and h[0, 59] == pytest.approx(0.5) and h[16, 59] == pytest.approx(0.5)
+    assert got[1]["h"] is None and got[1]["s"]["brightness"] is None
+    pairs = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "p array<double>, q array<double>")
+    assert [r[0] for r in pairs.select(clips.histogram_distance(F.col("p"), F.col("q"))).collect()] == [pytest.approx(0), 1.0, None]

@@ -110,3 +110,16 @@ def test_plain_files(spark, tmp_path):
     assert files.inspect(f"{path}/{part}")["rows"] == 2
     df.write.csv(str(tmp_path / "csv"), header=True)
     assert files.csv(spark, str(tmp_path / "csv"), df.schema).count() == 2
+
+
+def test_small_sources(spark, tmp_path):
+    calls = []
+    get = lambda u: calls.append(u) or b"x"
+    for _ in range(2):
+        assert open(files.fetch_once("http://x", str(tmp_path / "f"), get), "rb").read() == b"x"
+    assert calls == ["http://x"]
+    once = files.prompts(spark, ["a", "b", "c"], 50, 3).collect()
+    assert once == files.prompts(spark, ["a", "b", "c"], 50, 3).collect() and {r["prompt"] for r in once} == {"a", "b", "c"}
+    rows = files.regression_rows(spark, 400, 3, 1).collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+    assert np.abs(y - x @ [0, 1, 2] - 0.5).std() < 0.2
