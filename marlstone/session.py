@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 _written: list[tuple[object, str]] = []
+_shipped: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "marlstone", **conf: object) -> SparkSession:
@@ -31,6 +34,26 @@ def build_session(master: str | None = None, app: str = "marlstone", **conf: obj
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once: they may run
+    elsewhere or without its folder on their path. The driver serves the file."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="marlstone-")
+    path = os.path.join(folder, "marlstone_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(path)
+    atexit.register(shutil.rmtree, folder, True)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
