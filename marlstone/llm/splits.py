@@ -26,7 +26,7 @@ from marlstone.llm.common import squeezed
 from marlstone.operators.components import components
 from marlstone.session import stored
 
-BINS = 200
+BINS = 500
 BUCKET_ENTITIES = 500_000
 
 
