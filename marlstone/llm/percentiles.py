@@ -14,6 +14,10 @@ their intervals stay distributed; only the number of open intervals is counted.
 
 The rank of permille m among n values is ceil(m * n / 1000), at least 1 (the
 least value with at least that share at or below it). Null and NaN are no values.
+
+A null group is a group; a group without values, and an empty table, give no
+rows; equal values and repeated rows count as often as they occur; infinities
+are values at the ends; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ def long_values(df: DataFrame, keep: list[str], metrics: dict[str, str]) -> Data
 def summaries(values: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, bucket, n, lo, hi of (keys, value)."""
     v = F.col("value")
-    size = F.floor(F.log2(F.lit(1.0) + F.abs(v)) * STEPS_PER_OCTAVE).cast("int")
+    size = F.floor(F.least(F.log2(F.lit(1.0) + F.abs(v)), F.lit(1025.0)) * STEPS_PER_OCTAVE).cast("int")  # infinity has a bucket of its own
     weight = F.col("n") if "n" in values.columns else F.lit(1)
     return values.withColumn("bucket", F.when(v < 0, -size - 1).otherwise(size)).groupBy(*keys, "bucket").agg(F.sum(weight).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 

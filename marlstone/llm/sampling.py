@@ -11,6 +11,12 @@ within one row and the sample its size exactly.
 Floors come first: a stratum gets at least min(min_rows, its rows); what floors
 and exhausted strata take or leave is shared among the rest in proportion to
 their targets. Strata of the targets without any row are reported with 0.
+
+Rows whose stratum value is null or not in the targets are not eligible; an empty
+table gives a sample of size 0 and probabilities of 0; a null permille or floor
+counts as 0; equal rows are different rows as long as their ids differ (ids must
+be unique: the draw and its random numbers depend on the id alone, so it doesn't
+change with the order or partitioning of the rows); other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ combined in the same way. The resulting nearly equal bins are given whole to the
 splits, heaviest first, each to the split furthest below its target.
 
 Only `bins` sums per bucket of up to `bucket_entities` entities reach the driver.
-Rows without an entity are in no split. An entity heavier than a bin fills one
+Rows without an entity or kind are in no split, an entity without weight weighs 0,
+repeated links change nothing, an empty table gives no rows, and columns that
+aren't named are ignored. Equal weights go by name. An entity heavier than a bin fills one
 by itself, so a split may exceed its target by at most the heaviest entity.
 """
 

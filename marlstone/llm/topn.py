@@ -24,7 +24,7 @@ SALTS = 16
 
 def score_bucket(score: Column) -> Column:
     """Monotone coarse bucket of a double: sign(x) * floor(16 * log2(1 + |x|))."""
-    mag = F.floor(F.log2(F.lit(1.0) + F.abs(score)) * 16).cast("int")
+    mag = F.floor(F.least(F.log2(F.lit(1.0) + F.abs(score)), F.lit(1025.0)) * 16).cast("int")
     return F.when(score < 0, -mag).otherwise(mag)
 
 

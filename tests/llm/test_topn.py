@@ -22,7 +22,7 @@ def expect(rows, n):
 
 def test_hot_group_ties_nulls_and_clashing_names(spark):
     rng = random.Random(3)
-    rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice([None, float("nan"), 5.0, 5.0, rng.random() * 1000, -rng.random()]), rng.choice([None, 1.0, 2.0]), i, "mine", 4, "b") for i in range(2000)]
+    rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice([None, float("nan"), float("inf"), 5.0, 5.0, rng.random() * 1000, -rng.random()]), rng.choice([None, 1.0, 2.0]), i, "mine", 4, "b") for i in range(2000)]
     got = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "s", 3, [("t", True), ("k", False)], "k")
     assert {(r["g"], r["k"], r["rank"]) for r in got.collect()} == expect(rows, 3)
     assert set(got.columns) == {"g", "s", "t", "k", "rank", "salt", "bucket"}
