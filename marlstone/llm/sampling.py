@@ -149,7 +149,9 @@ def strata_report(rows: DataFrame, strata: list[str], targets: list[dict], one_i
     """For each target stratum (bounded by the targets table): eligible rows,
     wanted and reachable totals, probability, and whether it falls short of its
     floor or of permille/1000 of the sample size (not rounded)."""
-    found = {tuple(r[s] for s in strata): r["n"] for r in rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = rows.sparkSession.createDataFrame([tuple(t[s] for s in strata) for t in targets], rows.select(*strata).schema)
+    wanted = rows.select(*strata).join(F.broadcast(named), strata, "left_semi")  # as many strata as targets at most
+    found = {tuple(r[s] for s in strata): r["n"] for r in wanted.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = np.array([found.get(tuple(t[s] for s in strata), 0) for t in targets], np.int64)
     size = int(counts.sum()) // one_in
     permille = np.array([t["target_permille"] or 0 for t in targets], np.int64)
