@@ -12,6 +12,8 @@ prose nor junk. Statistics are computed in Arrow batches; nothing is sampled.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,35 +22,35 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*")
-TAG = regex.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|[a-z_]+\|>|&[a-z]{2,6};")
+WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|[a-z_]+\|>|&[a-z]{2,6};")
 #: Start of a list item, check box, table row, log line, contents line or stack frame.
-ITEM = regex.compile(r"^\s*(?:[-*•‣◦·▪+»o]\s|\(?\d{1,3}[.)]\s|\d{1,3}(?:\.\d{1,3})+\s|\(?[a-z][.)]\s|\[(?:[ xX]?|\d{1,3})\]|[☐☑☒✓✔]|\||\[?\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d|at\s\S+\()|\s\|\s")
+ITEM = re.compile(r"^\s*(?:[-*•‣◦·▪+»o]\s|\(?\d{1,3}[.)]\s|\d{1,3}(?:\.\d{1,3})+\s|\(?[a-z][.)]\s|\[(?:[ xX]?|\d{1,3})\]|[☐☑☒✓✔]|\||\[?\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d|at\s\S+\()|\s\|\s")
 #: A label with room for an answer, or a dotted leader.
-FORM = regex.compile(r"(?:_{3,}|\.{4,}\s*\d*|\[\s*\]|…{2,}\s*\d*)\s*$|^[^.!]{3,60}(?:[:=]\s*\S{0,12}|[?]\s*\S{0,4}|[?:=]\s*\S+ / \S+)\s*$")
+FORM = re.compile(r"(?:_{3,}|\.{4,}\s*\d*|\[\s*\]|…{2,}\s*\d*)\s*$|^[^.!]{3,60}(?:[:=]\s*\S{0,12}|[?]\s*\S{0,4}|[?:=]\s*\S+ / \S+)\s*$")
+PARAGRAPH = re.compile(r"\n\s*\n")
 VISIBLE = regex.compile(r"[^\s\p{Z}\p{Cc}\p{Cf}]")
-LINE_END = regex.compile(r"[.!?…。！？:;][\"'”’»)\]]*\s*$")
-STOP = regex.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?=\s|$)|(?<=[。！？])[」』]*")
-CELL = regex.compile(r"\t|\s\|\s|;|,(?! )| {2,}")
-KANA = regex.compile(r"[\p{Hiragana}]")
-CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]")
-NOISE = regex.compile(r"[=_{}<>|\\/@#~^*\[\]�¢£¤¦§¨©ª«¬®°±´¶·¸º¿œŸÂÃâ™]|\d")
-
-
-def running(unit: str, common: frozenset[str], stopped: bool, least: int = 4) -> bool:
-    """Whether a stretch of text reads as a sentence: enough words, mostly
-    letters, and common words among them; more of these where no full stop ends
-    it. Japanese is told by its share of hiragana."""
-    cjk = len(CJK.findall(unit))
-    if cjk > 0.5 * len(unit):
-        return cjk >= (6 if stopped else 12) and len(KANA.findall(unit)) >= 0.25 * cjk
-    words = WORD.findall(unit)
+ENDS, CLOSERS = frozenset(".!?…。！？:;"), "\"'”’»)]"
+STOP = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?=\s|$)|(?<=[。！？])[」』]*")
+CELL = re.compile(r"\t|\s\|\s|;|,(?! )| {2,}")
+KANA = re.compile(r"[\u3041-\u309f]")
+CJK = re.compile(r"[\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+DIGIT, OTHER = re.compile(r"\d"), re.compile(r"[\W\d_]+")
+
+
+def running(unit: str, words: list[str], common: frozenset[str], stopped: bool, least: int = 4) -> bool:
+    """Whether a stretch of text (with its lower-cased words) reads as a sentence:
+    enough words, mostly letters, and common words among them; more of these
+    where no full stop ends it. Japanese is told by its share of hiragana."""
     n = len(words)
+    if not unit.isascii() and (cjk := len(CJK.findall(unit))) > 0.5 * len(unit):
+        return cjk >= (6 if stopped else 12) and len(KANA.findall(unit)) >= 0.25 * cjk
     if n < (least if stopped else 8) or not stopped and (least > 4 or n < WORDS_PER_CELL * len(CELL.findall(unit))):
         return False
-    small = sum(w.lower() in common for w in words)
-    letters = sum(map(len, words))
-    return n >= 0.6 * len(unit.split()) and unit.count("=") < 0.15 * n and letters >= 0.6 * len(unit.replace(" ", "")) and small >= (0.12 if stopped else UNSTOPPED) * n
+    if sum(map(common.__contains__, words)) < (0.12 if stopped else UNSTOPPED) * n or unit.count("=") >= 0.15 * n:
+        return False
+    parts = unit.split()
+    return n >= 0.6 * len(parts) and sum(map(len, words)) >= 0.6 * sum(map(len, parts))
 
 
 UNSTOPPED = 0.24
@@ -60,22 +62,21 @@ LONG_LINE = 400
 WRAPPED = 34
 
 
-def units(text: str) -> Iterator[tuple[str, bool, int]]:
+def units(lines: list[str], alone: list[bool]) -> Iterator[tuple[str, bool, int]]:
     """Stretches of the text, whether each ends with a full stop, and the words it
-    needs to count as running. Wrapped lines are joined; items stand alone."""
-    for para in regex.split(r"\n\s*\n", text):
-        block: list[str] = []
-        for line in [*para.split("\n"), None]:
-            alone = line is None or bool(ITEM.search(line) or len(line) < LONG_LINE and FORM.search(line))
-            if block and (alone or len(block[-1]) < WRAPPED):
-                yield from sentences(" ".join(block), 4)
-                block = []
-            if line is None:
-                continue
-            if alone:
-                yield from sentences(line.strip(), 8)
-            else:
-                block.append(line.strip())
+    needs to count as running. Wrapped lines are joined; items stand alone, and a
+    blank line ends a paragraph."""
+    block: list[str] = []
+    for line, item in zip(lines, alone, strict=True):
+        if block and (item or not line or len(block[-1]) < WRAPPED):
+            yield from sentences(" ".join(block), 4)
+            block = []
+        if item:
+            yield from sentences(line, 8)
+        elif line:
+            block.append(line)
+    if block:
+        yield from sentences(" ".join(block), 4)
 
 
 def sentences(text: str, least: int) -> Iterator[tuple[str, bool, int]]:
@@ -88,37 +89,40 @@ def sentences(text: str, least: int) -> Iterator[tuple[str, bool, int]]:
         yield text[at:].strip(), False, least
 
 
-FIELDS = ["words", "mean_word_length", "symbol_ratio", "lines", "punctuated_lines", "common_words", "item_lines", "digit_ratio", "running_share", "duplicate_lines", "duplicate_paragraphs", "top_ngram", "cell_lines", "noise_ratio", "sentence_words"]
+FIELDS = ["words", "mean_word_length", "symbol_ratio", "lines", "punctuated_lines", "common_words", "item_lines", "digit_ratio", "running_share", "duplicate_lines", "duplicate_paragraphs", "top_ngram", "cell_lines", "sentence_words"]
 COUNTS = {"words", "lines"}
 
 
 def text_stats(raw: str | None, common: frozenset[str]) -> list:
     if not raw or not VISIBLE.search(raw):
         return [0 if f in COUNTS else None for f in FIELDS]
-    text = TAG.sub(" ", raw.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n"))
-    words = WORD.findall(text)
-    lines = [x for x in text.split("\n") if x.strip()] or [text]
-    dense = [c for c in text if not c.isspace()]
-    n = max(1, len(dense))
-    letters = sum(c.isalpha() for c in dense)
-    digits = sum(c.isdigit() for c in dense)
-    total = sum(map(len, lines))
-    seen = Counter(x.strip() for x in lines)
-    paras = Counter(p.strip() for p in regex.split(r"\n\s*\n", text) if p.strip())
-    size = sum(len(p) * k for p, k in paras.items()) or 1
-    grams = Counter(zip(*(words[i:] for i in range(3)), strict=False))
-    top = max((k * sum(map(len, g)) for g, k in grams.items() if k > 1), default=0)
+    text = raw if raw.isascii() else unicodedata.normalize("NFC", raw).replace("\u2028", "\n").replace("\u2029", "\n")
+    text = TAG.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text)
+    every = [x.strip() for x in text.split("\n")]
+    item = [bool(x) and ITEM.search(x) is not None for x in every]
+    alone = [i or bool(x) and len(x) < LONG_LINE and FORM.search(x) is not None for x, i in zip(every, item, strict=True)]
+    words: list[str] = []
     in_sentences = sentence_count = sentence_words = 0
-    for unit, stopped, least in units(text):
-        if running(unit, common, stopped, least):
+    for unit, stopped, least in units(every, alone):
+        own = WORD.findall(unit.lower())
+        words += own
+        if running(unit, own, common, stopped, least):
             in_sentences += len(unit)
             sentence_count += 1
-            sentence_words += len(WORD.findall(unit))
+            sentence_words += len(own)
+    lines = [x for x in every if x] or [text]
+    dense = "".join(text.split())
+    n, letters, digits = max(1, len(dense)), len(OTHER.sub("", dense)), sum(map(dense.count, "0123456789"))
+    total, word_chars, k_words = sum(map(len, lines)), sum(map(len, words)), max(1, len(words))
+    seen = Counter(lines)
+    paras = Counter(p.strip() for p in PARAGRAPH.split(text) if p.strip()) if "\n" in text else {}
+    size = sum(len(p) * k for p, k in paras.items()) or 1
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    top = max((k * sum(map(len, g)) for g, k in grams.items() if k > 1), default=0)
     return [
-        len(words), sum(map(len, words)) / len(words) if words else 0.0, (n - letters - digits) / n, len(lines),
-        sum(bool(LINE_END.search(x)) for x in lines) / len(lines), sum(w.lower() in common for w in words) / max(1, len(words)), sum(len(x) for x in lines if ITEM.search(x)) / total, digits / n,
-        min(1.0, in_sentences / max(1, len(text.strip()))), sum(len(x) * (k - 1) for x, k in seen.items()) / max(1, sum(len(x) * k for x, k in seen.items())), sum(len(p) * (k - 1) for p, k in paras.items()) / size, min(1.0, top / max(1, sum(map(len, words)))),
-        sum(len(CELL.findall(x)) >= 2 for x in lines) / len(lines), len(NOISE.findall(text)) / n, sentence_words / max(1, sentence_count),
+        len(words), word_chars / k_words, (n - letters - digits) / n, len(lines), sum(x.rstrip(CLOSERS)[-1:] in ENDS for x in lines) / len(lines), sum(map(common.__contains__, words)) / k_words, sum(len(x) for x, i in zip(every, item, strict=True) if i) / total, digits / n,
+        min(1.0, in_sentences / max(1, len(text.strip()))), sum(len(x) * (k - 1) for x, k in seen.items()) / total, sum(len(p) * (k - 1) for p, k in paras.items()) / size, min(1.0, top / max(1, word_chars)),
+        sum(len(CELL.findall(x)) >= 2 for x in lines) / len(lines), sentence_words / max(1, sentence_count),
     ]
 
 
