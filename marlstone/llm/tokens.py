@@ -6,7 +6,7 @@ takes token-position rows, joins each pair of neighbours with the merge table,
 and contracts each word's pairs of least rank, leftmost first, until no pair of
 any word has a merge. The recursion is keyed by word, so only its newest tokens
 are held. An ordered aggregation gives each word's ids, which are laid out by
-document with NumPy. `decode` is the inverse, by ordered aggregation in Spark.
+document with NumPy. `decode` is the inverse, by ordered aggregation.
 
 All occurrences of a word's least pair are contracted in one step (in a run such
 as aaaa every second one, from the left): the same result as one at a time.
@@ -71,8 +71,7 @@ class Vocabulary:
         self.first = np.array([ids[a] for a, _ in pairs], np.int32)
         self.second = np.array([ids[b] for _, b in pairs], np.int32)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
-        back = {c: i for i, c in enumerate(letters)}
-        self.bytes_of = {i: bytes(back[c] for c in word) for word, i in ids.items() if all(c in back for c in word)}
+        self.pieces = {i: word for word, i in ids.items() if set(word) <= set(letters)}  # without special tokens
 
 
 class WordEncoder:
@@ -162,10 +161,42 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str = DEFAULT_TOKENIZE
     return rows.mapInArrow(local, f"`{key}` {kind}, " + ("tokens bigint" if counts_only else "ids array<int>"))
 
 
+DECODE = """
+SELECT d, string_agg(piece, '' ORDER BY pos) AS letters
+FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN pieces USING (id) GROUP BY d ORDER BY d"""
+IDS_PER_QUERY = 500_000
+
+
 def decode(df: DataFrame, key: str, ids: Column, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """`key`, text: bytes of the ids joined in order (aggregated over positions)."""
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(Vocabulary(tokenizer).bytes_of.items()), "id int, piece binary")
-    rows = df.select(key, F.posexplode_outer(ids).alias("pos", "id")).join(F.broadcast(table), "id", "left")
-    joined = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("p"))
-    return joined.select(key, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("text"))
+    """`key`, text: the pieces of the ids joined in order, by an ordered aggregation
+    in DuckDB over the id-position rows of each slice of a partition. A null or
+    empty list gives an empty text; ids without a piece (special tokens) give
+    nothing; bytes that are no UTF-8 become the replacement character."""
+    vocab = df.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer).pieces)
+    rows = df.select(F.col(key), ids.cast("array<int>").alias("_ids"))
+    kind = rows.schema[0].dataType.simpleString()
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
+        db.register("rows", pa.table({"id": pa.array(vocab.value.keys(), pa.int32()), "piece": pa.array(vocab.value.values(), pa.string())}))
+        db.execute("CREATE TABLE pieces AS SELECT * FROM rows")
+        to_bytes = {ord(c): chr(b) for b, c in enumerate(byte_letters())}
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.diff(np.asarray(lists.offsets)) * np.asarray(lists.is_valid())
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // IDS_PER_QUERY)) + 1
+            for start, end in zip([0, *cut], [*cut, len(lists)], strict=True):
+                start, end = int(start), int(end)
+                part = lists.slice(start, end - start)
+                filled = np.flatnonzero(size[start:end])
+                db.register("coded", pa.table({"d": pa.array(filled), "ids": part.take(pa.array(filled))}))
+                out = [""] * (end - start)
+                found = db.sql(DECODE).to_arrow_table()
+                for d, letters in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+                    out[d] = letters.translate(to_bytes).encode("latin-1").decode("utf-8", "replace")
+                if end > start:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(out, pa.string())], names=[key, "text"])
+
+    return rows.mapInArrow(local, f"`{key}` {kind}, text string")

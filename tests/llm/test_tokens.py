@@ -45,3 +45,8 @@ def test_empty_table(spark):
 def test_any_text(encoder, reference, text):
     ids, count = encoder.encode([text])
     assert ids.tolist() == reference(text) and count.tolist() == [len(ids)]
+
+
+def test_decoding_of_odd_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [50256]), (4, [464, 50256, 464]), (5, [447]), (6, [999999])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in decode(df, "doc_id", F.col("ids")).collect()} == {1: "", 2: "", 3: "", 4: "TheThe", 5: "\ufffd", 6: ""}
