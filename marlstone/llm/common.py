@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,16 @@ def squeezed(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, OUTER_SPACE, ""))
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes of text, so that what a kernel
+    builds from a slice stays small however long the texts are."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(total // size)) + 1 if len(total) else []
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(int(start), int(end) - int(start))
+
+
 def current_clips(stages: DataFrame, *columns: str) -> DataFrame:
     """One row per clip (normalised `video_id`, `clip_index`): the values of
     `columns` in its row with the latest `landed_at` (ties: highest `clip_row`;

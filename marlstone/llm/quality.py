@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import bounded
+
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|[a-z_]+\|>|&[a-z]{2,6};")
 #: Start of a list item, check box, table row, log line, contents line or stack frame.
@@ -141,7 +143,7 @@ def document_stats(df: DataFrame, key: str, text: str, common: DataFrame) -> Dat
     kind = rows.schema[0].dataType.simpleString()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             stats = [text_stats(t, words) for t in batch.column(1).to_pylist()]
             columns = [pa.array([s[i] for s in stats], t) for i, t in enumerate(TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *FIELDS])

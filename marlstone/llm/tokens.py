@@ -5,8 +5,8 @@ tokenizer's pattern, and a recursive DuckDB query over the words not yet known
 takes token-position rows, joins each pair of neighbours with the merge table,
 and contracts each word's pairs of least rank, leftmost first, until no pair of
 any word has a merge. The recursion is keyed by word, so only its newest tokens
-are held. An ordered aggregation gives each word's ids, which are laid out by
-document with NumPy. `decode` is the inverse, by ordered aggregation.
+are held. An ordered aggregation gives each word's ids, which NumPy lays out by
+document. `decode` is the inverse, by ordered aggregation.
 
 All occurrences of a word's least pair are contracted in one step (in a run such
 as aaaa every second one, from the left): the same result as one at a time.
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import bounded
+
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The published word pattern of this family of tokenizers (fixed value).
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,18 +147,11 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str = DEFAULT_TOKENIZE
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in bounded(batches, 1):
             encoder = encoder or _encoder(vocab.value)
-            texts, chars, start = batch.column(1).to_pylist(), 0, 0
-            for i, t in enumerate([*texts, None]):  # slices of bounded size in characters
-                chars += len(t or "")
-                if i < len(texts) and chars < 4_000_000 or i == start:
-                    continue
-                end = i if i == len(texts) else i + 1
-                ids, count = encoder.encode(texts[start:end])
-                second = pa.array(count) if counts_only else pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), second], names=[key, "tokens" if counts_only else "ids"])
-                start, chars = end, 0
+            ids, count = encoder.encode(batch.column(1).to_pylist())
+            second = pa.array(count) if counts_only else pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), second], names=[key, "tokens" if counts_only else "ids"])
 
     return rows.mapInArrow(local, f"`{key}` {kind}, " + ("tokens bigint" if counts_only else "ids array<int>"))
 

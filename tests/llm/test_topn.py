@@ -41,3 +41,14 @@ def test_current_clip_is_the_latest_row(spark):
     rows = [(1, " AB ", 0, "2025-01-01 00:00:00", 1.0), (2, "ab", 0, "2025-01-02 00:00:00", 2.0), (3, "ab　", 0, "2025-01-02 00:00:00", 3.0), (4, "ab", 1, None, 4.0), (5, None, 1, None, 5.0), (6, "ab", None, None, 6.0)]
     df = spark.createDataFrame(rows, "clip_row long, video_id string, clip_index int, landed string, s double").withColumn("landed_at", F.to_timestamp("landed"))
     assert sorted((r["video_id"], r["clip_index"], r["s"]) for r in current_clips(df, "s").collect()) == [("ab", 0, 3.0), ("ab", 1, 4.0)]
+
+
+def test_bounded_slices_keep_all_rows():
+    import pyarrow as pa
+
+    from marlstone.llm.common import bounded
+
+    texts = ["x" * 30, None, "", "é" * 100, "y", "z" * 500, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    parts = list(bounded(iter([batch, batch.slice(0, 0)]), 1, 100))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 3
