@@ -349,6 +349,7 @@ def clip_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query('SELECT "index", episode_index, frame_index FROM lerobot_datasource WHERE frame_index % 20 = 0')
 def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
+    """Every 20th frame of an episode: the stride is the operator."""
     return table(spark, d, "lerobot_datasource").where(clips.sampled(F.col("frame_index"))).select("index", "episode_index", "frame_index")
 
 

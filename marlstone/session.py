@@ -70,7 +70,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def _remove_written() -> None:
+def release() -> None:
+    """Remove the intermediate tables written so far. Results that read them must
+    have been written or collected before; done by itself when the driver ends."""
     while _written:
         spark, path = _written.pop()
         try:
@@ -80,7 +82,7 @@ def _remove_written() -> None:
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(release)
 
 
 def track(spark: SparkSession, path: str) -> str:

@@ -175,3 +175,15 @@ def test_image_signals_and_histograms(spark):
     assert got[1]["h"] is None and got[1]["s"]["brightness"] is None
     pairs = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "p array<double>, q array<double>")
     assert [r[0] for r in pairs.select(clips.histogram_distance(F.col("p"), F.col("q"))).collect()] == [pytest.approx(0), 1.0, None]
+
+
+def test_intermediate_tables_go_on_release(spark):
+    import os
+
+    from marlstone.session import release, stored
+
+    df = stored(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    release()
+    assert not os.path.exists(path)
