@@ -27,7 +27,8 @@ from marlstone.llm.common import bounded
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|[a-z_]+\|>|&[a-z]{2,6};")
 #: Start of a list item, check box, table row, log line, contents line or stack frame.
-ITEM = re.compile(r"^\s*(?:[-*•‣◦·▪+»o]\s|\(?\d{1,3}[.)]\s|\d{1,3}(?:\.\d{1,3})+\s|\(?[a-z][.)]\s|\[(?:[ xX]?|\d{1,3})\]|[☐☑☒✓✔]|\||\[?\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d|at\s\S+\()|\s\|\s")
+ITEM = re.compile(r"^\s*(?:[-*•‣◦·▪+»o]\s|\(?\d{1,3}[.)]\s|\d{1,3}(?:\.\d{1,3})+\s|\(?[a-z][.)]\s|\[(?:[ xX]?|\d{1,3})\]|[☐☑☒✓✔]|\||\[?\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d|at\s\S+\()")
+PIPE = re.compile(r"\s\|\s")
 #: A label with room for an answer, or a dotted leader.
 FORM = re.compile(r"(?:_{3,}|\.{4,}\s*\d*|\[\s*\]|…{2,}\s*\d*)\s*$|^[^.!]{3,60}(?:[:=]\s*\S{0,12}|[?]\s*\S{0,4}|[?:=]\s*\S+ / \S+)\s*$")
 PARAGRAPH = re.compile(r"\n\s*\n")
@@ -47,7 +48,7 @@ def running(unit: str, words: list[str], common: frozenset[str], stopped: bool,
     n = len(words)
     if not unit.isascii() and (cjk := len(CJK.findall(unit))) > 0.5 * len(unit):
         return cjk >= (6 if stopped else 12) and len(KANA.findall(unit)) >= 0.25 * cjk
-    if n < (least if stopped else 8) or not stopped and (least > 4 or n < WORDS_PER_CELL * len(CELL.findall(unit))):
+    if n < (least if stopped else 8) or not stopped and (least > 4 or n < WORDS_PER_CELL * separators(unit)):
         return False
     if sum(map(common.__contains__, words)) < (0.12 if stopped else UNSTOPPED) * n or unit.count("=") >= 0.15 * n:
         return False
@@ -64,6 +65,23 @@ LONG_LINE = 400
 WRAPPED = 34
 
 
+def is_item(line: str) -> bool:
+    return ITEM.match(line) is not None or "|" in line and PIPE.search(line) is not None
+
+
+def is_form(line: str) -> bool:
+    if len(line) >= LONG_LINE or not (":" in line or "=" in line or "?" in line or "___" in line or "...." in line or "]" in line or "……" in line):
+        return False
+    return FORM.search(line) is not None
+
+
+def separators(text: str) -> int:
+    """Number of cell separators; the pattern is needed only where bars or wide gaps are."""
+    if "|" in text or "  " in text:
+        return len(CELL.findall(text))
+    return text.count("\t") + text.count(";") + text.count(",") - text.count(", ")
+
+
 def units(lines: list[str], alone: list[bool]) -> Iterator[tuple[str, bool, int]]:
     """Stretches of the text, whether each ends with a full stop, and the words it
     needs to count as running. Wrapped lines are joined; items stand alone, and a
@@ -101,8 +119,8 @@ def text_stats(raw: str | None, common: frozenset[str]) -> list:
     text = raw if raw.isascii() else unicodedata.normalize("NFC", raw).replace("\u2028", "\n").replace("\u2029", "\n")
     text = TAG.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text)
     every = [x.strip() for x in text.split("\n")]
-    item = [bool(x) and ITEM.search(x) is not None for x in every]
-    alone = [i or bool(x) and len(x) < LONG_LINE and FORM.search(x) is not None for x, i in zip(every, item, strict=True)]
+    item = [bool(x) and is_item(x) for x in every]
+    alone = [i or bool(x) and is_form(x) for x, i in zip(every, item, strict=True)]
     words: list[str] = []
     in_sentences = sentence_count = sentence_words = 0
     for unit, stopped, least in units(every, alone):
@@ -124,7 +142,7 @@ def text_stats(raw: str | None, common: frozenset[str]) -> list:
     return [
         len(words), word_chars / k_words, (n - letters - digits) / n, len(lines), sum(x.rstrip(CLOSERS)[-1:] in ENDS for x in lines) / len(lines), sum(map(common.__contains__, words)) / k_words, sum(len(x) for x, i in zip(every, item, strict=True) if i) / total, digits / n,
         min(1.0, in_sentences / max(1, len(text.strip()))), sum(len(x) * (k - 1) for x, k in seen.items()) / total, sum(len(p) * (k - 1) for p, k in paras.items()) / size, min(1.0, top / max(1, word_chars)),
-        sum(len(CELL.findall(x)) >= 2 for x in lines) / len(lines), sentence_words / max(1, sentence_count),
+        sum(separators(x) >= 2 for x in lines) / len(lines), sentence_words / max(1, sentence_count),
     ]
 
 
