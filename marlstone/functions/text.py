@@ -9,9 +9,9 @@ white space; normalisation is NFC.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,17 +81,29 @@ def special_ratio(c: Column) -> Column:
     return F.try_divide(F.length(F.regexp_replace(c, ORDINARY, "")), F.length(c))
 
 
+def window_hashes(text: str, window: int) -> np.ndarray:
+    """Hashes of all character windows of the text (of the whole text where it is
+    shorter), by a polynomial over code points, mixed."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width = min(window, len(points))
+    acc = np.zeros(len(points) - width + 1, np.uint64)
+    for k in range(width):
+        acc = acc * np.uint64(0x100000001B3) + points[k : k + len(acc)] + np.uint64(1)
+    acc = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return acc ^ (acc >> np.uint64(32))
+
+
 def repetition(text: str | None, n: int) -> float | None:
     """Share of the most frequent character n-grams among all: the sqrt(#distinct)
-    most frequent, but no more than occur twice."""
+    most frequent, but no more than occur twice. n-grams are told apart by a 64-bit
+    hash."""
     if text is None:
         return None
     if len(text) < n:
         return 0.0
-    counts = Counter(text[i : i + n] for i in range(len(text) - n + 1))
-    single = sum(1 for k in counts.values() if k == 1)
-    take = min(isqrt(len(counts)), len(counts) - single)
-    return sum(sorted(counts.values(), reverse=True)[:take]) / (len(text) - n + 1)
+    counts = np.unique(window_hashes(text, n), return_counts=True)[1]
+    take = min(isqrt(len(counts)), int((counts > 1).sum()))
+    return float(np.sort(counts)[::-1][:take].sum() / (len(text) - n + 1))
 
 
 def char_repetition(c: Column, n: int = 10) -> Column:

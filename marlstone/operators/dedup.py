@@ -1,15 +1,22 @@
-"""Near-duplicate removal by min-hash banding and connected components.
-
-Equal texts are one class from the start, so a group of copies costs one
-signature. Every other text gets the minima of `permutations` hash functions over
-its distinct character windows, cut into bands; texts that share a band are linked
-to the least id of that bucket (a star, never all pairs), which joins the same
-texts as linking all of them; components of these links are the classes and
-the least id of each class survives. Null texts are kept as they are.
+"""Near-duplicate removal by min-hash banding, verification and components.
+
+Equal texts are one class from the start, so a group of copies costs one set of
+bands per task. Every other text gets the minima of `permutations` hash functions
+over its distinct character windows, cut into bands. In every bucket of a band the
+least id is the representative; the others are compared with it (a star, never all
+pairs) and linked where the Jaccard similarity of the exact window sets reaches the
+threshold. Those that fail stay in the bucket and get a new representative among
+themselves, round by round, until no bucket has two texts left. Components of the
+verified links are the classes and the least id of each class survives. Null texts
+are kept as they are.
+
+No class holds a link below the threshold; what banding doesn't bring together and
+what is only like a text that already found another representative may be missed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import window_hashes
 from marlstone.operators.components import components
 from marlstone.session import stored
 
-PRIME = (1 << 61) - 1
+#: Texts a task remembers, so that copies are signed once.
+REMEMBERED = 200_000
 
 
 def band_shape(threshold: float, permutations: int) -> tuple[int, int]:
@@ -37,61 +46,94 @@ def band_shape(threshold: float, permutations: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def window_hashes(text: str, window: int) -> np.ndarray:
-    """Distinct hashes of the character windows of the lower-cased text (of the
-    whole text where it is shorter), by a polynomial over code points."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
-    width = min(window, len(points))
-    acc = np.zeros(len(points) - width + 1, np.uint64)
-    for k in range(width):
-        acc = acc * np.uint64(0x100000001B3) + points[k : k + len(acc)] + np.uint64(1)
-    acc ^= acc >> np.uint64(29)
-    return np.unique(acc * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32))
-
-
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 4096):
-        part = hashes[start : start + 4096, None]
-        out = np.minimum(out, ((part * a + b) >> np.uint64(16)).min(axis=0))
+    """Minima of the 32-bit hash functions a * x + b over the low halves."""
+    low = hashes.astype(np.uint32)
+    out = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for start in range(0, len(low), 512):
+        out = np.minimum(out, (a[:, None] * low[None, start : start + 512] + b[:, None]).min(axis=1))
     return out
 
 
+def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    parts = minima.reshape(bands, rows).astype(np.uint64)
+    acc = np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        acc = (acc ^ parts[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(31)
+    return acc.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of distinct values."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def verified_links(buckets: DataFrame, texts: DataFrame, window: int, threshold: float) -> DataFrame:
+    """`src, dst` of texts (id, t) that share a bucket of `buckets` (band, id), were
+    compared as representative and member, and are as similar as the threshold."""
+    entries = stored(buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "band", "left_semi"), "entries")
+    known = stored(texts.join(entries.select("id").distinct(), "id", "left_semi"), "linked")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[object, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for batch in batches:
+            keep = []
+            for src, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if held[0] != src:
+                    held = (src, np.unique(window_hashes(a.lower(), window)))
+                keep.append(jaccard(held[1], np.unique(window_hashes(b.lower(), window))) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    links = None
+    while entries.take(1):
+        least = entries.groupBy("band").agg(F.min("id").alias("src"))
+        met = stored(entries.join(least, "band").where("id <> src"), "met")
+        pairs = met.select("src", F.col("id").alias("dst")).distinct()
+        pairs = pairs.join(known.select(F.col("id").alias("src"), F.col("t").alias("a")), "src").join(known.select(F.col("id").alias("dst"), F.col("t").alias("b")), "dst")
+        good = stored(pairs.select("src", "dst", "a", "b").sortWithinPartitions("src").mapInArrow(check, f"src {kind}, dst {kind}"), "good")
+        links = good if links is None else links.unionByName(good)
+        left = met.join(good.select("src", F.col("dst").alias("id")), ["src", "id"], "left_anti").select("band", "id")
+        entries = stored(left.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "band", "left_semi"), "entries")
+    return links if links is not None else entries.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+
+
 def duplicate_classes(df: DataFrame, key: str, text: str, window: int = 5, threshold: float = 0.7, permutations: int = 256, seed: int = 7) -> DataFrame:
     """`key`, class of every row with a text: the least key of its class."""
     bands, rows = band_shape(threshold, permutations)
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**62, bands * rows, dtype=np.uint64)
+    a = rng.integers(1, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    copies = stored(texts.withColumn("h", F.sha2(F.lower("t"), 256)).select("id", "h"), "hashes")
-    leaders = copies.groupBy("h").agg(F.min("id").alias("leader"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            keys = []
+            keys, copies = [], []
             for t in batch.column(1).to_pylist():
-                if t:
-                    parts = signature(window_hashes(t, window), a, b).reshape(bands, rows)
-                    acc = np.arange(1, bands + 1, dtype=np.uint64)
-                    for r in range(rows):
-                        acc = (acc ^ parts[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-                        acc ^= acc >> np.uint64(31)
-                    keys.append(acc.view(np.int64))
+                t = t.lower()
+                own = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
+                copies.append(own)
+                if t and own not in seen:
+                    keys.append(band_keys(signature(window_hashes(t, window), a, b), bands, rows))
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(own)
                 else:
                     keys.append(np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["id", "h", "bands"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    one = texts.join(leaders.select(F.col("leader").alias("id")), "id", "left_semi")
-    banded = stored(one.mapInArrow(sign, f"id {kind}, bands array<bigint>").select("id", F.explode("bands").alias("band")), "bands")
-    least = banded.groupBy("band").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = banded.join(least, "band").where("id <> src").select("src", F.col("id").alias("dst")).distinct()
-    found = components(links)
+    signed = stored(texts.mapInArrow(sign, f"id {kind}, h binary, bands array<bigint>"), "signed")
+    leaders = signed.groupBy("h").agg(F.min("id").alias("leader"))
+    banded = signed.where(F.size("bands") > 0).join(leaders, "h").select(F.col("leader").alias("id"), F.explode("bands").alias("band")).distinct()
+    found = components(verified_links(stored(banded, "bands"), texts, window, threshold))
     classes = leaders.join(found, leaders["leader"] == found["node"], "left").select("h", F.coalesce("component", "leader").alias("class"))
-    return copies.join(classes, "h").select(F.col("id").alias(key), "class")
+    return signed.join(classes, "h").select(F.col("id").alias(key), "class")
 
 
 def minhash_dedup(df: DataFrame, key: str, text: str, **params: object) -> DataFrame:

@@ -58,3 +58,23 @@ def test_classes_against_brute_force(spark):
     assert kept == {c for c in got.values()} | {i for i, t in rows if t is None}
     again = minhash_dedup(minhash_dedup(df, "doc_id", "text"), "doc_id", "text")
     assert {r["doc_id"] for r in again.collect()} == kept
+
+
+def test_classes_of_alike_texts_hold_no_false_link(spark):
+    """Texts made of shared sentences, much alike but mostly below the threshold."""
+    rng = random.Random(4)
+    pool = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(12)) + "." for _ in range(30)]
+    rows = [(i, " ".join(rng.sample(pool, 9))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1][: int(len(rows[i][1]) * 0.85)]) for i in range(60)] + [(2000 + i, rows[i][1].replace("a", "z", 3)) for i in range(60)]
+    got = {r["doc_id"]: r["class"] for r in duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    edges = [(j, i) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])]
+    true = union_find(edges + [(i, i) for i in sets])
+    assert all(true[i] == true[c] for i, c in got.items())
+    assert sum(got[i] == got[j] for j, i in edges) >= 0.9 * len(edges)
+
+
+def test_many_members_of_one_bucket(spark):
+    rows = [(i, "the same long beginning of every text that is stored in this table, whatever comes then, number " + "abcdefghij"[i % 10]) for i in range(2000)]
+    got = {r["class"] for r in duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {0}
