@@ -43,10 +43,27 @@ def make_root(path, lengths=LENGTHS, videos=FILES, fps=10, tasks_column="task"):
 
 CODEC = """
 import json
+import weakref
 import numpy as np
-def decode(path):
-    for t, e, f in json.load(open(path)):
-        yield t, np.full((2, 2, 3), 16 * e + f, np.uint8)
+import pyarrow.fs as pafs
+alive = []
+class Frame(np.ndarray):
+    pass
+def decode(file, start):
+    shown = json.load(file)
+    first = max((i for i, x in enumerate(shown) if x[0] <= start and i % 3 == 0), default=0)  # every third is a key frame
+    for k, (t, e, f) in enumerate(shown[first:]):
+        if k == 0 and first:
+            yield None, None  # a packet that can't be decoded just after a seek
+        frame = np.full((2, 2, 3), 16 * e + f, np.uint8).view(Frame)
+        alive.append(k)
+        weakref.finalize(frame, alive.pop)
+        yield t, frame
+        del frame
+        if len(alive) > 2:
+            raise RuntimeError("more than one frame per camera is held")
+def store(path):
+    return pafs.SubTreeFileSystem(path.removeprefix("store:/").rsplit("/", 1)[0], pafs.LocalFileSystem()), path.rsplit("/", 1)[1]
 """
 
 
@@ -70,6 +87,45 @@ def test_all_partitionings_give_the_same_rows(spark, root, partitioning):
             assert r[camera]["shape"] == [2, 2, 3]
 
 
+@pytest.mark.parametrize("scheme", ["file", "store"])
+def test_other_file_systems(spark, root, scheme):
+    more = {"filesystem": "toy_codec:store"} if scheme == "store" else {}
+    df = read_episodes(spark, f"{scheme}://{root}", "episode", codec="toy_codec:decode", parallelism=2, **more)
+    assert all(set(np.frombuffer(r["a"]["data"], np.uint8)) == {16 * r["episode_index"] + r["frame_index"]} for r in df.collect())
+    assert df.count() == sum(LENGTHS)
+
+
+def test_unknown_task_is_an_error(spark, tmp_path):
+    path = make_root(tmp_path / "tasks")
+    pd.DataFrame({"task_index": [0], "task": ["pick"]}).to_parquet(f"{path}/meta/tasks.parquet")
+    with pytest.raises(Exception, match="unknown task_index 1"):
+        read_episodes(spark, path, columns="index,task").collect()
+
+
+def test_tasks_stay_small_with_many_episodes(tmp_path):
+    import pickle
+
+    from marlstone.sources.episodes import EpisodeReader, EpisodeSource
+
+    path = make_root(tmp_path / "many", lengths=[1] * 6)
+    rows = [{"episode_index": e, "length": 2, "data/chunk_index": 0, "data/file_index": 0} | {f"videos/{c}/{x}": 0 for c in FILES for x in ("chunk_index", "file_index", "from_timestamp")} for e in range(100_000)]
+    pd.DataFrame(rows).to_parquet(f"{path}/meta/episodes/0.parquet")
+    reader = EpisodeSource({"roots": path}).reader(None)
+    parts = EpisodeReader(reader.roots, reader.arrow, {"partitioning": "row_block", "block_size": "100"}).partitions()
+    assert len(parts) == 2000 and len(pickle.dumps(reader)) < 20_000 and max(len(pickle.dumps(p)) for p in parts) < 20_000
+
+
+def test_row_groups_outside_a_slice_are_skipped(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from marlstone.sources.episodes import rows_between
+
+    pq.write_table(pa.table({"index": list(range(1000)), "x": [0.5] * 1000}), tmp_path / "d.parquet", row_group_size=100)
+    got = list(rows_between(pq.ParquetFile(tmp_path / "d.parquet"), ["index"], 250, 310, 40))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(250, 310)) and max(b.num_rows for b in got) <= 40
+
+
 def test_slices(spark, root):
     from marlstone.sources.episodes import Root, slices
 
