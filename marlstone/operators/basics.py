@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import lookup_join
+
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, mean, stddev (sample), min, max: one pass, one row a column."""
@@ -24,6 +26,22 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
+def renamed_keys(keys: list[str], names: dict[str, str]) -> list[str]:
+    """The keys as they are called after `rename`."""
+    return [names.get(k, k) for k in keys]
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """`rows` with `value` of the row of `table` with the same `key` (keys are unique);
+    null for a null key, an error for a key that isn't in the table."""
+    known = table.select(F.col(key).alias("_key"), F.struct(value).alias("_hit")).where("_key is not null")
+    named = known.withColumnRenamed("_key", key)
+    hit = lookup_join(rows, named, [key], "left", known.count())
+    lost = F.raise_error(F.concat(F.lit(f"unknown {key} "), F.col(key).cast("string")))
+    found = F.when(F.col("_hit").isNotNull(), F.col(f"_hit.{value}")).when(F.col(key).isNotNull(), lost.cast(table.schema[value].dataType))
+    return hit.withColumn(value, found).drop("_hit")
+
+
 def pass_through(df: DataFrame, allowed: list[str]) -> DataFrame:
     """The allowed columns that are present, in their order."""
     return df.select(*[c for c in allowed if c in df.columns])

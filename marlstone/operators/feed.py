@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from marlstone.operators.prefix import Chunks
+
 
 def hwc_to_chw(values: Column, height: int, width: int, channels: int, scale: float = 255.0) -> Column:
     """A flat height x width x channels list as channels x height x width, each
@@ -105,6 +107,38 @@ def batches(df: DataFrame, size: int, collate: Callable[[pd.DataFrame], object]
         yield collate(pd.DataFrame(held))
 
 
+def worker_batches(df: DataFrame, workers: int, key: str, size: int, consume: Callable[[int, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Each worker's shard, in batches of `size` rows, given to `consume(worker,
+    batches)` inside the worker's own task: no row passes through the driver."""
+    own = shards(df, key, workers)
+
+    def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cut(first: pd.DataFrame, rest: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = first
+            for pdf in rest:
+                held = pd.concat([held, pdf], ignore_index=True)
+                while len(held) >= size:
+                    yield held.iloc[:size].drop(columns="shard")
+                    held = held.iloc[size:].reset_index(drop=True)
+            while len(held):
+                yield held.iloc[:size].drop(columns="shard")
+                held = held.iloc[size:].reset_index(drop=True)
+
+        parts = (p for p in parts if len(p))
+        first = next(parts, None)
+        if first is not None:
+            yield from consume(int(first["shard"].iloc[0]), cut(first, parts))
+
+    return own.repartitionById(workers, "shard").mapInPandas(local, schema)
+
+
+def device_rows(rows: int, devices: int) -> int:
+    """Rows of a batch that each device gets; a batch that doesn't divide is an error."""
+    if devices < 1 or rows % devices:
+        raise ValueError(f"a batch of {rows} rows can't be split over {devices} devices")
+    return rows // devices
+
+
 def ordered_batches(df: DataFrame, key: str, size: int, run: Callable[[list], list], value: str, kind: str) -> DataFrame:
     """key, result: a batch function over the rows in lists of `size`, whose
     results keep their key."""
@@ -122,5 +156,9 @@ def ordered_batches(df: DataFrame, key: str, size: int, run: Callable[[list], li
 
 def evenly(df: DataFrame, order: list[str], groups: int) -> DataFrame:
     """`df` with `task` from 0: `groups` runs in order, sizes differing by one at
-    most, larger ones first. For plan tables, one row per slice."""
-    return df.withColumn("task", F.ntile(groups).over(Window.orderBy(*order)) - 1)
+    most, larger ones first. Row numbers come from sums per chunk, not one task."""
+    numbered = Chunks(df, [], order).sums(_at=F.lit(1)).rows()
+    size, more = divmod(numbered.count(), groups)
+    r, head = F.col("_at") - 1, more * (size + 1)
+    task = F.when(r < head, F.floor(r / (size + 1))).otherwise(more + F.floor((r - head) / max(1, size)))
+    return numbered.withColumn("task", task.cast("int")).drop("_at")

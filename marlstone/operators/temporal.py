@@ -21,8 +21,7 @@ def asof_forward(rows: DataFrame, frames: DataFrame, keys: list[str], target: st
     frame = F.struct(F.col(time).alias("ft"), F.struct(*take).alias("v"))
     left = rows.select(*keys, at.alias("_at"), F.lit(0).alias("_kind"), F.struct(*names).alias("_row"), F.lit(None).cast(frames.select(frame).schema[0].dataType).alias("_frame"))
     right = frames.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), frame.alias("_frame"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stored(left.unionByName(right).repartitionByRange(parts, *keys, "_at").withColumn("_chunk", F.spark_partition_id()), "asof")
+    chunks = stored(left.unionByName(right).repartitionByRange(*keys, "_at").withColumn("_chunk", F.spark_partition_id()), "asof")
     inside = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_frame")).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     first = chunks.groupBy(*keys, "_chunk").agg(F.min("_frame").alias("_first"))

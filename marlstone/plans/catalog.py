@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -12,7 +12,7 @@ from marlstone.operators import basics, clips, feed, temporal
 from marlstone.operators.dedup import duplicate_classes
 from marlstone.plans import episodes as E
 from marlstone.plans import pipeline
-from marlstone.session import table
+from marlstone.session import stored, table
 from marlstone.streaming.incremental import stream_clean
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,10 +285,11 @@ def multi_root_union(spark: SparkSession, d: str) -> DataFrame:
     return one.withColumn("root", F.lit(0)).unionByName(one.withColumn("root", F.lit(1))).select("root", "episode_index", "length")
 
 
-@query('SELECT "index", episode_index, frame_index, l.task_index, task FROM lerobot_datasource l JOIN tasks t ON l.task_index = t.task_index')
+@query('SELECT "index", episode_index, frame_index, l.task_index, task FROM lerobot_datasource l LEFT JOIN tasks t ON l.task_index = t.task_index')
 def task_join(spark: SparkSession, d: str) -> DataFrame:
-    """Lookup of the task text; the tasks table is fixed and small (40 rows)."""
-    return table(spark, d, "lerobot_datasource").select("index", "episode_index", "frame_index", "task_index").join(F.broadcast(table(spark, d, "tasks")), "task_index")
+    """Lookup of the task text: an index that isn't in the table is an error."""
+    rows = table(spark, d, "lerobot_datasource").select("index", "episode_index", "frame_index", "task_index")
+    return basics.looked_up(rows, table(spark, d, "tasks"), "task_index", "task")
 
 
 @query(f"""{SQL_EPS}, total AS (SELECT dataset_index, max(to_index) AS total FROM off GROUP BY 1),
@@ -395,24 +396,112 @@ def safe_clips(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stages").where("is_safe").select("clip_row", "video_id", "clip_index", "category")
 
 
-@query(r"""
-WITH b AS (SELECT clip_row, trim(coalesce(vlm_description, '')) AS t FROM stages),
-bare AS (SELECT clip_row, CASE WHEN starts_with(t, '```') THEN trim(regexp_replace(regexp_replace(t, '^```[^\n ]*[\n ]?', ''), '(?s)```.*$', '')) ELSE t END AS t FROM b),
-parsed AS (SELECT clip_row, t, CASE WHEN starts_with(t, '{') AND json_valid(t) THEN t::JSON END AS j FROM bare)
+SQL_OUTER = r"'^[\s\p{Z}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{1c}-\x{1f}\x{85}]+$', '', 'g'"
+
+
+@query(f"""
+WITH given AS (SELECT clip_row, coalesce(vlm_description, '') AS g FROM stages UNION ALL
+  SELECT -clip_row, '```json' || chr(10) || '{{"category": "news", "description": "a ``` fence in row ' || clip_row || '", "is_safe": false}}' || chr(10) || '``` ' FROM stages),
+b AS (SELECT *, regexp_replace(g, {SQL_OUTER}) AS t FROM given),
+opened AS (SELECT *, CASE WHEN starts_with(t, '```') THEN regexp_replace(t, '^```[^\n{{ ]*[\n ]?', '') END AS o FROM b),
+bare AS (SELECT clip_row, g, CASE WHEN o IS NULL THEN t WHEN contains(o, '```') THEN regexp_replace(substr(o, 1, length(o) - strpos(reverse(o), '```') - 2), {SQL_OUTER}) ELSE regexp_replace(o, {SQL_OUTER}) END AS t FROM opened),
+parsed AS (SELECT clip_row, g, CASE WHEN starts_with(t, '{{') AND json_valid(t) THEN t::JSON END AS j FROM bare)
 SELECT clip_row, coalesce(CASE WHEN j IS NOT NULL THEN j ->> 'category' END, 'other') AS category,
   coalesce(CASE WHEN lower(j ->> 'is_safe') IN ('true', 'false') THEN lower(j ->> 'is_safe') = 'true' END, true) AS is_safe,
-  CASE WHEN j IS NOT NULL THEN coalesce(j ->> 'description', '') ELSE substr(t, 1, 200) END AS description, coalesce(j ->> 'visual_quality', 'medium') AS quality
+  CASE WHEN j IS NOT NULL THEN coalesce(j ->> 'description', '') ELSE substr(g, 1, 200) END AS description, coalesce(j ->> 'visual_quality', 'medium') AS quality
 FROM parsed""")
 def vlm_parse(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "stages").select("clip_row", clips.parsed_reply(F.col("vlm_description")).alias("r")).select("clip_row", "r.*")
+    """Replies as stored, and one with a fence inside its description per row."""
+    rows = table(spark, d, "stages").select("clip_row", "vlm_description")
+    fenced = F.concat(F.lit('```json\n{"category": "news", "description": "a ``` fence in row '), F.col("clip_row").cast("string"), F.lit('", "is_safe": false}\n``` '))
+    every = rows.unionByName(rows.select((-F.col("clip_row")).alias("clip_row"), fenced.alias("vlm_description")))
+    return every.select("clip_row", clips.parsed_reply(F.col("vlm_description")).alias("r")).select("clip_row", "r.*")
+
+
+@query(f"""
+WITH c AS (SELECT clip_row, lower(regexp_replace(category, {SQL_OUTER})) AS c FROM stages)
+SELECT clip_row, CASE WHEN c IN ({", ".join(f"'{x}'" for x in clips.CATEGORIES)}) THEN c ELSE 'other' END AS category FROM c""")
+def category_domain(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stages").select("clip_row", clips.known_category(F.col("category")).alias("category"))
 
 
 @query("""
 WITH u AS (SELECT label, i, embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS v FROM embeddings, range(1, 65) r(i) WHERE embedding IS NOT NULL),
 m AS (SELECT label, i, round(avg(v), 6) AS v FROM u WHERE v IS NOT NULL GROUP BY ALL)
-SELECT label, list(v ORDER BY i) AS embedding FROM m GROUP BY label""")
+SELECT label, list(v ORDER BY i) AS embedding FROM m GROUP BY label UNION ALL SELECT -1, list_transform(range(64), lambda i: 0.0::DOUBLE)""")
 def embed_pool(spark: SparkSession, d: str) -> DataFrame:
-    return clips.pooled_embedding(table(spark, d, "embeddings"), "label", "embedding", 6)
+    """Mean unit vectors by label; label -1 is a clip without keyframes."""
+    rows = table(spark, d, "embeddings").select("label", "embedding")
+    empty = rows.limit(1).select(F.lit(-1).cast(rows.schema["label"].dataType).alias("label"), F.lit(None).cast(rows.schema["embedding"].dataType).alias("embedding"))
+    return clips.pooled_embedding(rows.unionByName(empty), "label", "embedding", 64, 6)
+
+
+# 64 numbers of an embedding stand in for a gray picture of 8 x 8 pixels
+
+
+def _mirrored(i: int, n: int = 8) -> int:
+    return -i if i < 0 else 2 * n - 2 - i if i >= n else i
+
+
+def _neighbour(dy: int, dx: int) -> str:
+    return str([_mirrored(p // 8 + dy) * 8 + _mirrored(p % 8 + dx) + 1 for p in range(64)])
+
+
+SQL_FRAMES = """
+frames AS (SELECT label AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + 400 * x::DOUBLE)))) AS px FROM embeddings),
+hist AS (SELECT video, frame, px, list_transform(range(0, 256, 32), lambda b: len(list_filter(px, lambda p: p >= b AND p < b + 32)) / 64) AS h FROM frames)"""
+SQL_SIGNALS = f"""
+signals AS (SELECT video, frame, px, list_avg(px) AS brightness, list_stddev_pop(px) AS contrast,
+  list_var_pop(list_transform(range(1, 65), lambda i: px[({_neighbour(-1, 0)})[i]] + px[({_neighbour(1, 0)})[i]] + px[({_neighbour(0, -1)})[i]] + px[({_neighbour(0, 1)})[i]] - 4 * px[i])) AS sharpness FROM frames)"""
+SQL_CLIPS = f"""
+WITH {SQL_FRAMES}, {SQL_SIGNALS},
+looked AS (SELECT video, frame, h, lag(h) OVER (PARTITION BY video ORDER BY frame) AS b FROM hist WHERE frame % 3 = 0),
+cuts AS (SELECT video, frame, (b IS NULL OR coalesce(sqrt(greatest(0, 1 - list_sum(list_transform(list_zip(b, h), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(b) * list_sum(h)))) > 0.3, false))::INT AS o FROM looked),
+scenes AS (SELECT video, s - 1 AS clip_index, min(frame) AS start_frame FROM (SELECT *, sum(o) OVER (PARTITION BY video ORDER BY frame) AS s FROM cuts) GROUP BY ALL),
+total AS (SELECT video, max(frame) + 1 AS total FROM frames GROUP BY 1),
+bounded AS (SELECT video, total, clip_index, start_frame, coalesce(lead(start_frame) OVER (PARTITION BY video ORDER BY clip_index), total) AS end_frame FROM scenes JOIN total USING (video)),
+clip AS (SELECT *, end_frame - start_frame AS n FROM bounded WHERE end_frame - start_frame >= 4),
+picked AS (SELECT video, clip_index, unnest(CASE WHEN n <= 1 THEN [start_frame] ELSE list_transform(range(least(5, n)), lambda i: floor(start_frame + i * ((least(end_frame, total) - 1 - start_frame) / (least(5, n) - 1)))::BIGINT) END) AS frame FROM clip),
+seen AS (SELECT p.video, p.clip_index, s.*  EXCLUDE (video), lag(px) OVER (PARTITION BY p.video, p.clip_index ORDER BY p.frame) AS b FROM picked p JOIN signals s ON p.video = s.video AND p.frame = s.frame),
+quality AS (SELECT video, clip_index, avg(brightness) AS br, avg(contrast) AS co, avg(sharpness) AS sh, coalesce(avg(list_avg(list_transform(list_zip(b, px), lambda z: abs(z[1] - z[2])))), 0.0) AS mo FROM seen GROUP BY ALL)"""
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """video, frame, image (binary), histogram of all rows of `embeddings`."""
+    from marlstone.operators.prefix import running_sum
+
+    px = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * x.cast("double")))).cast("int"))
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("video"), "vec_id", px.alias("px"), F.lit(1).alias("one"))
+    image = F.unhex(F.array_join(F.transform("px", lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    share = lambda b: F.size(F.filter("px", lambda p: (p >= b) & (p < b + 32))) / 64
+    histogram = F.array(*[share(b) for b in range(0, 256, 32)])
+    return running_sum(rows, ["video"], ["vec_id"], "one", "n").select("video", (F.col("n") - 1).alias("frame"), image.alias("image"), histogram.alias("histogram"), "px")
+
+
+def _mean_difference(before: Column, here: Column) -> Column:
+    pairs = F.zip_with(before, here, lambda a, b: F.abs(a - b).cast("double"))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / 64
+
+
+@query(SQL_CLIPS + """ SELECT video, clip_index::BIGINT AS clip_index, start_frame, end_frame, n AS clip_num_frames, round_even(br::DECIMAL(24, 8), 2)::DOUBLE AS brightness, round_even(co::DECIMAL(24, 8), 2)::DOUBLE AS contrast, round_even(sh::DECIMAL(24, 8), 2)::DOUBLE AS sharpness, round_even(mo::DECIMAL(24, 8), 2)::DOUBLE AS motion_score FROM clip JOIN quality USING (video, clip_index)""")
+def clip_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of every clip cut from the frames."""
+    frames = stored(_frames(spark, d), "frames")
+    cut = clips.cut_intervals(frames, "video", "frame", "histogram", 3, 0.3, 4)
+    out = clips.clip_signals(frames, cut, "video", "frame", clips.image_signals(F.col("image"), 8, 8), _mean_difference, "px")
+    return out.drop("total_frames")
+
+
+@query(SQL_CLIPS + """, kept AS (SELECT *, n / 30.0 AS seconds FROM clip JOIN quality USING (video, clip_index)
+  WHERE n / 30.0 >= 1.0 AND round_even(br, 2) BETWEEN 30 AND 240 AND round_even(co, 2) >= 20 AND round_even(sh, 2) >= 50 AND round_even(mo, 2) >= 0.5)
+SELECT video, clip_index::BIGINT AS clip_index, start_frame, end_frame, n AS clip_num_frames, round(start_frame / 30.0, 3) AS start_sec, round(end_frame / 30.0, 3) AS end_sec, round(seconds, 3) AS clip_duration_sec, 30.0::DOUBLE AS fps,
+  least((start_frame + end_frame) // 2, total - 1)::BIGINT AS mid_frame, list_transform(range(3), lambda i: floor(start_frame + i * ((end_frame - 1 - start_frame) / 2))::BIGINT) AS keyframes,
+  list_sort(list_distinct(list_append(keyframes, mid_frame))) AS needed FROM kept""")
+def video_clips(spark: SparkSession, d: str) -> DataFrame:
+    """From frames to the rows of the clips of good quality."""
+    frames = stored(_frames(spark, d), "frames")
+    out = clips.video_clips(frames, "video", "frame", "histogram", clips.image_signals(F.col("image"), 8, 8), "px", _mean_difference, stride=3, threshold=0.3, minimum=4)
+    return out.drop("brightness", "contrast", "sharpness", "motion_score")
 
 
 # ---- training feed -------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.components import components
+from marlstone.operators.feed import evenly
 from marlstone.operators.prefix import running_sum
 from marlstone.session import stored
 
@@ -81,7 +82,7 @@ def by_blocks(off: DataFrame, rows: int) -> DataFrame:
 
 def tasks(slices: DataFrame, parallelism: int) -> DataFrame:
     """Slices with `task` from 0, in order, sizes by count differing by one."""
-    return slices.withColumn("task", F.ntile(parallelism).over(Window.orderBy("dataset_index", "start", "end")) - 1)
+    return evenly(slices, ["dataset_index", "start", "end"], parallelism)
 
 
 def merged(assigned: DataFrame) -> DataFrame:

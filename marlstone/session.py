@@ -31,7 +31,9 @@ def build_session(master: str | None = None, app: str = "marlstone", **conf: obj
         "spark.ui.showConsoleProgress": "false",
     } | {k: str(v) for k, v in conf.items()}
     builder = SparkSession.builder.appName(app).config(map=base)
-    return (builder.master(master) if master else builder).getOrCreate()
+    spark = (builder.master(master) if master else builder).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,9 +62,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
-    Only where the cluster names none (local tests) a folder of this machine."""
+    Only where a local master names none (tests) a folder of this machine; a
+    cluster without one is an error, as its machines would not see each other's."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():

@@ -57,6 +57,9 @@ def test_replies(spark):
     texts = ['{"category": "news", "is_safe": "false", "description": "d", "visual_quality": "low"}', '```json\n{"description": "x"}\n```', "z" * 300, "[1, 2]", '{"is_safe": "maybe"}', None, "{'category': 'news'}"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [tuple(r["r"]) for r in df.select("i", clips.parsed_reply(F.col("t")).alias("r")).orderBy("i").collect()]
+    nested = '\u3000```json\n{"category": "news", "description": "a ``` b"}\n```\n'
+    r = spark.createDataFrame([(nested,), ('```\n{"category": "news"',)], "t string").select(clips.parsed_reply(F.col("t")).alias("r")).collect()
+    assert tuple(r[0]["r"]) == ("news", True, "a ``` b", "medium") and r[1]["r"]["description"] == '```\n{"category": "news"'
     assert got == [("news", False, "d", "low"), ("other", True, "x", "medium"), ("other", True, "z" * 200, "medium"), ("other", True, "[1, 2]", "medium"), ("other", True, "", "medium"), ("other", True, "", "medium"), ("other", True, "{'category': 'news'}", "medium")]
 
 
@@ -72,8 +75,9 @@ def test_video_id(spark):
 def test_pooled_embedding(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(20, 8))
-    df = spark.createDataFrame([(i % 2, [float(x) for x in r]) for i, r in enumerate(v)] + [(0, None)], "label int, e array<double>")
-    got = {r["label"]: r["embedding"] for r in clips.pooled_embedding(df, "label", "e").collect()}
+    df = spark.createDataFrame([(i % 2, [float(x) for x in r]) for i, r in enumerate(v)] + [(0, None), (2, None), (3, [])], "label int, e array<double>")
+    got = {r["label"]: r["embedding"] for r in clips.pooled_embedding(df, "label", "e", 8).collect()}
+    assert got[2] == got[3] == [0.0] * 8
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert all(np.allclose(got[k], unit[k::2].mean(axis=0)) for k in (0, 1))
 
@@ -142,8 +146,94 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path)).schema
     out = stream_clean(spark, str(tmp_path), schema)
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, long.strip()), (3, long.strip())]
-    stream = first_seen(spark.readStream.format("rate").load(), ["value"], "timestamp", "1 minute")
-    assert stream.isStreaming
+
+
+def test_stream_resumes_where_it_stopped(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    pd.DataFrame({"doc_id": [1], "text": ["word " * 30]}).to_parquet(source / "a.parquet")
+    schema = spark.read.parquet(str(source)).schema
+    assert stream_clean(spark, str(source), schema, out=out, state=state).count() == 1
+    pd.DataFrame({"doc_id": [2], "text": ["more " * 30]}).to_parquet(source / "b.parquet")
+    assert sorted(r["doc_id"] for r in stream_clean(spark, str(source), schema, out=out, state=state).collect()) == [1, 2]
+    assert stream_clean(spark, str(source), schema, out=out, state=state).count() == 2
+    with pytest.raises(ValueError):
+        stream_clean(spark, str(source), schema, out=out)
+
+
+def test_first_seen_drops_repeats_within_the_delay(spark, tmp_path):
+    at = pd.Timestamp("2025-01-01")
+    for i, (key, minutes) in enumerate([("a", 0), ("a", 1), ("b", 2), ("a", 3)]):
+        pd.DataFrame({"k": [key], "t": [at + pd.Timedelta(minutes=minutes)]}).astype({"t": "datetime64[us]"}).to_parquet(tmp_path / f"{i}.parquet")
+    stream = first_seen(spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path)), ["k"], "t", "1 hour")
+    run = stream.writeStream.format("memory").queryName("first_seen_rows").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r["k"] for r in spark.table("first_seen_rows").collect()) == ["a", "b"]
+
+
+def test_feed_of_workers_and_devices(spark):
+    def consume(worker, batches):
+        for b in batches:
+            yield pd.DataFrame({"worker": [worker], "n": [len(b)], "total": [int(b["id"].sum())]})
+
+    got = feed.worker_batches(spark.range(1000), 3, "id", 64, consume, "worker int, n int, total long").collect()
+    assert sum(r["total"] for r in got) == 999 * 500 and max(r["n"] for r in got) == 64 and {r["worker"] for r in got} == {0, 1, 2}
+    assert sum(r["n"] < 64 for r in got) <= 3
+    assert feed.device_rows(32, 8) == 4
+    with pytest.raises(ValueError):
+        feed.device_rows(30, 8)
+
+
+def test_even_groups_without_a_global_window(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(x,) for x in rng.sample(range(10_000), 103)], "v long")
+    got = [(r["v"], r["task"]) for r in feed.evenly(df, ["v"], 8).collect()]
+    assert [t for _, t in sorted(got)] == sorted(t for _, t in got)
+    assert [sum(t == k for _, t in got) for k in range(8)] == [13] * 7 + [12]
+    assert sorted(r["task"] for r in feed.evenly(df.limit(3), ["v"], 8).collect()) == [0, 1, 2]
+
+
+def test_lookup_raises_on_an_unknown_key(spark):
+    tasks = spark.createDataFrame([(0, "pick"), (1, None)], "task_index int, task string")
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "i int, task_index int")
+    assert {r["i"]: r["task"] for r in basics.looked_up(rows, tasks, "task_index", "task").collect()} == {1: "pick", 2: None, 3: None}
+    with pytest.raises(Exception, match="unknown task_index 7"):
+        basics.looked_up(spark.createDataFrame([(1, 7)], "i int, task_index int"), tasks, "task_index", "task").collect()
+    assert basics.renamed_keys(["a", "b"], {"a": "x"}) == ["x", "b"]
+
+
+def test_motion_follows_a_shift(spark):
+    y, x = np.mgrid[:32, :32]
+    image = lambda d: bytearray(np.clip(128 + 60 * np.sin((x - d) / 4) + 50 * np.cos(y / 5), 0, 255).astype(np.uint8).tobytes())
+    df = spark.createDataFrame([(0, image(0), image(0)), (1, image(0), image(1)), (2, image(0), None)], "i int, a binary, b binary")
+    got = {r["i"]: r["m"] for r in df.select("i", clips.flow_magnitude(F.col("a"), F.col("b")).alias("m")).collect()}
+    assert got[0] == 0 and 0.6 < got[1] < 1.4 and got[2] is None
+
+
+def test_clips_from_frames(spark):
+    def picture(scene, i):
+        p = np.full((16, 16), 60 + 120 * scene, np.int64) + ((np.arange(256).reshape(16, 16) * 7 + i * 3) % 50)
+        return bytearray(p.astype(np.uint8).tobytes())
+
+    rows = [("v", f, picture(f // 40 % 2, f), [1.0, 0.0] if f // 40 % 2 else [0.0, 1.0]) for f in range(130)]
+    rows += [("one", 0, picture(0, 0), [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "video string, frame long, image binary, h array<double>").repartition(5)
+    got = clips.cut_intervals(df, "video", "frame", "h", 20, 0.5, 30)
+    assert sorted((r["clip_index"], r["start_frame"], r["end_frame"]) for r in got.collect()) == [(0, 0, 40), (1, 40, 80), (2, 80, 120)]
+    out = clips.video_clips(df, "video", "frame", "h", clips.image_signals(F.col("image"), 16, 16), "image", fps=F.lit(25.0)).collect()
+    assert all(r["fps"] == 25.0 and r["clip_duration_sec"] == 1.6 and r["mid_frame"] == r["start_frame"] + 20 and r["keyframes"][-1] == r["end_frame"] - 1 for r in out)
+    single = clips.clip_signals(df, clips.cut_intervals(df, "video", "frame", "h", 20, 0.5, 1).where("video = 'one'"), "video", "frame", clips.image_signals(F.col("image"), 16, 16), clips.flow_magnitude, "image").first()
+    assert single["motion_score"] == 0.0 and single["brightness"] > 0
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from marlstone.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://m:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
 
 
 def test_previous_over_chunks_with_clashing_names(spark):

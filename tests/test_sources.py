@@ -179,3 +179,20 @@ def test_small_sources(spark, tmp_path):
     rows = files.regression_rows(spark, 400, 3, 1).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
     assert np.abs(y - x @ [0, 1, 2] - 0.5).std() < 0.2
+
+
+def test_session_works_from_another_folder(tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from marlstone.session import build_session\n"
+        "from marlstone.functions.text import fix_mojibake\n"
+        "sys.path.pop(0)\n"
+        "s = build_session('local-cluster[1,1,1024]', **{'spark.checkpoint.dir': sys.argv[2]})\n"
+        "print(s.createDataFrame([('a',)], 't string').select(fix_mojibake('t')).collect()[0][0] * 3)\n"
+    )
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code, repo, f"file://{tmp_path}"], cwd=tmp_path, capture_output=True, text=True, timeout=180, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "aaa" in done.stdout, done.stderr[-2000:]
