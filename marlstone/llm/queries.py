@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import current_clips, squeezed
 from marlstone.llm.packing import CAPACITY, pack, pieces
 from marlstone.llm.percentiles import bisect, combined, located, long_values, summaries
-from marlstone.llm.quality import document_stats, prose_rule
+from marlstone.llm.quality import deciding_rule, document_stats, prose_rule
 from marlstone.llm.runs import collapse_runs
 from marlstone.llm.sampling import pivotal_sample, strata_report
 from marlstone.llm.splits import assign_splits, entity_groups, split_name, torn_entities
@@ -203,7 +203,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     """All statistics of every document, and whether it is prose."""
-    return document_stats(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).withColumn("prose", prose_rule())
+    return document_stats(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).withColumn("rule", deciding_rule()).withColumn("prose", prose_rule())
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from marlstone.llm.quality import document_stats, prose_rule
+from marlstone.llm.quality import deciding_rule, document_stats, is_form, ngram_coverage, prose_rule
 
 WORDS = "the a an of to and in is it that was for on with as at by this but not are be from we der die und nicht von".split()
 PROSE = [
@@ -26,7 +26,7 @@ def common(spark):
 
 def judged(spark, common, texts):
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id int, text string, words double")
-    return {r["doc_id"]: r for r in document_stats(df, "doc_id", "text", common).withColumn("prose", prose_rule()).collect()}
+    return {r["doc_id"]: r for r in document_stats(df, "doc_id", "text", common).withColumn("prose", prose_rule()).withColumn("rule", deciding_rule()).collect()}
 
 
 def test_prose_and_other_forms(spark, common):
@@ -35,6 +35,44 @@ def test_prose_and_other_forms(spark, common):
     assert [OTHER[i - len(PROSE)] for i in range(len(PROSE), len(got)) if got[i]["prose"]] == []
 
 
+FOREIGN = [
+    "Вчера вечером мы долго шли по берегу реки и говорили о том, что было летом. На другом берегу горел огонь, но людей не было видно.",
+    "昨天晚上我们沿着河边走了很久，说起了夏天的事情。对岸有一堆火在燃烧，但是看不到人。后来他们把船推到了水里。",
+    "어제 저녁에 우리는 강가를 오래 걸으면서 여름에 있었던 일을 이야기했다. 건너편에는 불이 타고 있었지만 사람은 보이지 않았다.",
+    "Χθες το βράδυ περπατήσαμε για πολλή ώρα στην όχθη του ποταμού. Στην άλλη πλευρά έκαιγε μια φωτιά, αλλά δεν είδαμε κανέναν.",
+]
+FOREIGN_LISTS = ["1. хлеб\n2. молоко\n3. сахар\n4. соль", "目录\n产品\n联系方式\n登录", "홈 | 제품 | 연락처 | 로그인"]
+
+
+def test_prose_of_other_languages(spark, common):
+    got = judged(spark, common, FOREIGN + FOREIGN_LISTS)
+    assert [got[i]["prose"] for i in range(len(FOREIGN))] == [True] * len(FOREIGN)
+    assert [got[i]["prose"] for i in range(len(FOREIGN), len(got))] == [False] * len(FOREIGN_LISTS)
+
+
+def test_each_rule_decides(spark, common):
+    para = "It was the lamp of the house that we saw when we came. "
+    cases = {
+        "loop": "and it was the same " * 40 + ".", "copies": "\n".join([para + "That is it."] * 3 + [para.replace("lamp", "lamp of the hall and door") * 2] * 9), "symbols": "=====----- of the ##### $$$$ %%%% in it", "structure": "- of the\n- in it\n- to be\n- as is",
+        "sentences": "scheduler videos twice overlap model export contained replayed started visible",
+    }
+    got = judged(spark, common, list(cases.values()))
+    assert [got[i]["rule"] for i in range(len(cases) - 4)] == ["loop"] and [got[i]["rule"] for i in (2, 3, 4)] == ["symbols", "structure", "sentences"]
+    assert not got[1]["prose"]
+
+
+def test_long_lines_and_tags(spark, common):
+    label = "Name of the place where the parcel was left by the driver on that day " * 75
+    assert len(label) > 5000 and is_form(label + ":") and is_form(label + "____") and is_form("Of the date = 12") and is_form(label + "[ ]")
+    assert not is_form("We left: it was late and the lamp of the house was off when we came") and not is_form("It is. So: yes")
+    tag = '<a href="' + "x" * 3000 + '">'
+    assert judged(spark, common, [tag + PROSE[0] + tag])[0]["prose"]
+
+
+def test_coverage_counts_characters_once():
+    assert ngram_coverage([["a", "b"] * 10, ["a", "b", "c"], [], ["aa"] * 4, ["x", "yy", "q", "x", "yy", "r"]]).tolist() == pytest.approx([1.0, 0.0, 0.0, 1.0, 6 / 8])
+
+
 def test_blank_texts_are_no_cases(spark, common):
     got = judged(spark, common, [None, "", " \n\t", "　﻿​"])
     assert all(r["prose"] is None and r["words"] == 0 and r["mean_word_length"] is None for r in got.values())
