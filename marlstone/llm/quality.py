@@ -195,32 +195,29 @@ def ngram_coverage(words: list[list[str]]) -> np.ndarray:
     covers; characters under several occurrences count once."""
     size = np.array([len(w) for w in words], np.int64)
     flat = [x for w in words for x in w]
-    out, chars = np.zeros(len(words)), np.array([len(x) for x in flat], np.int64)
-    code = np.unique(np.array([hash(x) for x in flat], np.int64), return_inverse=True)[1].astype(np.uint64)
+    out, chars = np.zeros(len(words)), np.fromiter(map(len, flat), np.int64, len(flat))
+    code = np.fromiter(map(hash, flat), np.int64, len(flat)).astype(np.uint64)
     row, upto = np.repeat(np.arange(len(words)), size), np.r_[0, np.cumsum(chars)]
     total = np.maximum(1, np.bincount(row, weights=chars, minlength=len(words)))
-    for k in NGRAMS:
+    acc = row.astype(np.uint64)
+    for k in range(1, max(NGRAMS) + 1):
         m = len(flat) - k + 1
         if m < 2:
             break
-        acc = row[:m].astype(np.uint64)
-        for j in range(k):
-            acc = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + code[j : j + m]
+        acc = (acc[:m] ^ (acc[:m] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 :]
         inside = np.flatnonzero(row[:m] == row[k - 1 :])
-        if not len(inside):
+        if k not in NGRAMS or len(inside) < 2:
             continue
-        _, first, which, count = np.unique(acc[inside], return_index=True, return_inverse=True, return_counts=True)
-        at = inside[first]
-        weight = np.where(count > 1, count * (upto[at + k] - upto[at]), 0)
-        order = np.lexsort((weight, row[at]))
-        best = order[np.r_[row[at][order][1:] != row[at][order][:-1], True]]  # of each row
-        best = best[weight[best] > 0]
-        chosen = np.zeros(len(at), bool)
-        chosen[best] = True
-        hit = inside[chosen[which]]
-        edges = np.zeros(len(flat) + 1, np.int64)
-        np.add.at(edges, hit, 1)
-        np.add.at(edges, hit + k, -1)
+        order = inside[np.argsort(acc[inside])]
+        first = np.flatnonzero(np.r_[True, acc[order[1:]] != acc[order[:-1]]])
+        count = np.diff(np.r_[first, len(order)])
+        at = np.minimum.reduceat(order, first)[count > 1]  # repeated n-grams only; of equal ones the earliest
+        first, count = first[count > 1], count[count > 1]
+        best = np.lexsort((-at, count * (upto[at + k] - upto[at]), row[at]))
+        best = best[np.r_[row[at][best][1:] != row[at][best][:-1], np.ones(min(1, len(best)), bool)]]  # one of each row
+        n = count[best]
+        hit = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[best], n)]
+        edges = np.bincount(hit, minlength=len(flat) + 1) - np.bincount(hit + k, minlength=len(flat) + 1)
         covered = np.cumsum(edges[:-1]) > 0
         out = np.maximum(out, np.bincount(row[covered], weights=chars[covered], minlength=len(words)) / total)
     return out
