@@ -1,27 +1,33 @@
 """A sample with given shares of categories.
 
-Strata counts are aggregated once; exponential tilting of a constant base
-probability to the reachable stratum totals is solved by Newton steps on the
-dual, whose gradient and Hessian need only the aggregated counts. The pivotal
-method then draws rows with exactly these probabilities: every chunk of rows
-plays its own duels, the one undecided row of each chunk and stratum goes on to
-duels across chunks and at last across strata, so each stratum gets its total to
-within one row and the sample its size exactly.
-
-Floors come first: a stratum gets at least min(min_rows, its rows); what floors
-and exhausted strata take or leave is shared among the rest in proportion to
-their targets. Strata of the targets without any row are reported with 0.
-
-Rows whose stratum value is null or not in the targets are not eligible; an empty
-table gives a sample of size 0 and probabilities of 0; a null permille or floor
-counts as 0; equal rows are different rows as long as their ids differ (ids must
-be unique: the draw and its random numbers depend on the id alone, so it doesn't
-change with the order or partitioning of the rows); other columns are ignored.
+Cells (strata) are counted once. Their probabilities minimise the relative entropy
+to base probabilities under given moments and bounds: p = base * exp(features @
+dual), kept between the cell's floor and 1, where the dual is found by damped
+Newton steps whose gradient and Hessian need only the aggregated counts. With
+targets for joint strata the base is proportional to the targets and the one moment
+is the sample size, so what floors take and exhausted strata leave is shared among
+the rest in proportion; with targets for margins each margin is a moment
+(`margin_report`). Moments that the counts don't allow are missed by as little as a
+quadratic penalty allows, and the gaps are reported.
+
+The pivotal method then draws rows with exactly these probabilities: rounds of duels
+between neighbours inside chunks, then across chunks of a stratum, then across
+strata, so each stratum gets its total to within one row and the sample its size
+exactly. A round leaves one undecided row per chunk and stratum, later one per
+stratum, then one per chunk, until they fit one task.
+
+A stratum of share 0 gets its floor only; strata of the targets without any row are
+reported with 0. Rows whose stratum value is null or not in the targets are not
+eligible; an empty table gives a sample of size 0 and probabilities of 0; a null
+permille or floor counts as 0; equal rows are different rows as long as their ids
+differ (ids must be unique: the draw and its random numbers depend on the id alone,
+so it doesn't change with the order or partitioning of the rows); other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,69 +39,91 @@ from marlstone.session import stored
 CHUNK_ROWS = 100_000
 
 
-def reachable_totals(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int) -> np.ndarray:
-    """Totals near share * size, between floor and count, that add up to size
-    where the counts allow it."""
-    low, high = np.minimum(floors, counts).astype(float), counts.astype(float)
-    size = min(size, high.sum())
-    if low.sum() >= size:
-        return low
-    scale_lo, scale_hi = 0.0, 1.0
-    total = lambda s: np.clip(s * shares, low, high)
-    while total(scale_hi).sum() < size and scale_hi < 1e15:
-        scale_hi *= 2
-    for _ in range(200):
-        mid = (scale_lo + scale_hi) / 2
-        scale_lo, scale_hi = (mid, scale_hi) if total(mid).sum() < size else (scale_lo, mid)
-    out = total(scale_hi)
-    left = size - out.sum()
-    room = high - out if left > 0 else low - out  # zero-share strata fill a remainder
-    return out + (room * (left / room.sum()) if abs(left) > 1e-9 and abs(room.sum()) > 0 else 0)
-
-
-def tilt(features: np.ndarray, counts: np.ndarray, base: float, totals: np.ndarray, steps: int = 100) -> np.ndarray:
-    """Probability of a row of each cell: base * exp(features @ dual), with the
-    moments sum(counts * p * features) equal to totals, by damped Newton steps."""
-    dual = np.zeros(features.shape[1])
-
-    def value(d: np.ndarray) -> float:
-        return float((counts * base * np.exp(np.clip(features @ d, -60, 60))).sum() - d @ totals)
-
+def tilt(features: np.ndarray, counts: np.ndarray, base: np.ndarray, totals: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, steps: int = 300) -> np.ndarray:
+    """Probability of a row of each cell: base * exp(features @ dual) kept in [low,
+    high], with the moments sum(counts * p * features) as near to `totals` as they
+    can be, by damped Newton steps on the (convex) dual."""
+    base = np.broadcast_to(np.asarray(base, float), counts.shape)
+    low = np.zeros(len(counts)) if low is None else low
+    high = np.full(len(counts), np.inf) if high is None else high
+    dual, scale = np.zeros(features.shape[1]), max(1.0, float(np.abs(totals).max(initial=0)))
+    penalty = 1e-12 * scale  # a quadratic penalty on the dual: infeasible moments are missed, not chased for ever
+    with np.errstate(divide="ignore"):
+        at_low, at_high = np.log(low) - np.log(base), np.log(high) - np.log(base)
+
+    def parts(d: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        eta = np.clip(features @ d, -500, 500)
+        raw = base * np.exp(eta)
+        below, above = raw <= low, raw >= high
+        p = np.where(below, low, np.where(above, high, raw))
+        with np.errstate(invalid="ignore"):
+            psi = np.where(below, np.where(low > 0, low * (1 + eta - at_low), 0), np.where(above, high * (1 + eta - at_high), raw))
+        return float((counts * np.where(base > 0, psi, 0)).sum() - d @ totals + penalty / 2 * d @ d), p, ~(below | above)
+
+    value, p, inside = parts(dual)
     for _ in range(steps):
-        p = base * np.exp(np.clip(features @ dual, -60, 60))
-        grad = features.T @ (counts * p) - totals
-        if np.abs(grad).max(initial=0) < 1e-9:
+        grad = features.T @ (counts * p) - totals + penalty * dual
+        if np.abs(grad).max(initial=0) < 1e-9 * scale:
             break
-        hess = (features * (counts * p)[:, None]).T @ features + 1e-12 * np.eye(len(dual))
-        step, size = np.linalg.solve(hess, grad), 1.0
-        while value(dual - size * step) > value(dual) and size > 1e-6:
+        hess = (features * (counts * p * inside)[:, None]).T @ features
+        step = np.linalg.solve(hess + (penalty + 1e-9 * max(np.trace(hess), 1e-3 * scale)) * np.eye(len(dual)), grad)
+        step *= min(1.0, 20.0 / max(1e-300, float(np.abs(step).max())))
+        size = 1.0
+        while size > 1e-9:
+            tried = parts(dual - size * step)
+            if tried[0] <= value - 1e-4 * size * float(step @ grad):
+                break
             size /= 2
-        dual -= size * step
-    return base * np.exp(np.clip(features @ dual, -60, 60))
-
-
-def duels(ids: np.ndarray, probs: np.ndarray, draws: np.ndarray) -> tuple[list[int], tuple[int, float] | None]:
-    """Ordered pivotal method: ids taken, and the undecided one with its probability."""
-    taken, held, p = [], None, 0.0
-    for i, q, u in zip(ids.tolist(), probs.tolist(), draws.tolist(), strict=True):
-        if q >= 1 - 1e-9:
-            taken.append(i)
-            continue
-        if q <= 1e-12:
-            continue
-        if held is None:
-            held, p = i, q
-            continue
-        s = p + q
-        if s < 1:
-            held, p = (i, s) if u < q / s else (held, s)
         else:
-            first_wins = u < (1 - q) / (2 - s)
-            taken.append(held if first_wins else i)
-            held, p = (i if first_wins else held), s - 1
-        if p <= 1e-9:
-            held = None
-    return taken, (held, p) if held is not None else None
+            break
+        dual, (value, p, inside) = dual - size * step, tried
+    return p
+
+
+def reachable(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int) -> np.ndarray:
+    """Probabilities of the cells whose totals are in proportion to `shares` where
+    floors and counts allow it, and add up to `size` where they can."""
+    p, low = np.zeros(len(counts)), np.minimum(1.0, floors / np.maximum(1, counts))
+    some = counts > 0
+    p[some] = low[some]
+    on = some & (shares > 0)
+    left = size - float((counts * low)[some & ~on].sum())
+    if on.any() and left > 0:
+        most = float(counts[on].sum())
+        if left >= most:
+            p[on] = 1.0
+        elif left > float((counts * low)[on].sum()):
+            p[on] = tilt(np.ones((int(on.sum()), 1)), counts[on].astype(float), shares[on] * left / shares[on].sum() / counts[on], np.array([left]), low[on], np.ones(int(on.sum())))
+    return p
+
+
+def duels(ids: np.ndarray, strata: np.ndarray, probs: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pivotal method as rounds of duels between neighbours of a stratum: positions
+    taken, and the undecided ones (one per stratum at most) with `probs` changed in
+    place. Rows should be in order of stratum."""
+    taken = [np.flatnonzero(probs >= 1 - 1e-9)]
+    open_ = np.flatnonzero((probs < 1 - 1e-9) & (probs > 1e-12))
+    number = 0
+    while True:
+        number += 1
+        s = strata[open_]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        place = np.arange(len(s)) - np.repeat(start, np.diff(np.r_[start, len(s)]))
+        first = np.flatnonzero((place[:-1] % 2 == 0) & (s[1:] == s[:-1])) if len(s) > 1 else np.zeros(0, np.int64)
+        if not len(first):
+            return np.concatenate(taken), open_
+        a, b = open_[first], open_[first + 1]
+        p, q, u = probs[a], probs[b], _uniform(ids[a] ^ np.int64(number << 56), seed)
+        total = p + q
+        few = total < 1
+        wins = np.where(few, u < p / total, u < (1 - q) / np.maximum(1e-300, 2 - total))  # a stays (few) or is taken
+        stay, go = np.where(few == wins, a, b), np.where(few == wins, b, a)
+        probs[go] = np.where(few, 0.0, 1.0)
+        probs[stay] = np.where(few, total, total - 1)
+        taken.append(go[~few])
+        done = np.where(few & (total >= 1 - 1e-9), stay, -1)
+        taken.append(done[done >= 0])
+        open_ = open_[(probs[open_] < 1 - 1e-9) & (probs[open_] > 1e-9)]
 
 
 def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -109,40 +137,42 @@ def pivotal_sample(rows: DataFrame, total_rows: int, seed: int = 17) -> DataFram
     """`id` of the sampled rows of `rows` (id bigint unique, stratum int, p double)."""
     out = "id bigint, stratum int, p double, taken boolean"
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([pd.DataFrame({"id": [], "stratum": [], "p": []}), *batches])
-        for stratum, own in pdf.groupby("stratum", sort=True):
-            ids = own["id"].to_numpy(np.int64)
-            taken, rest = duels(ids, own["p"].to_numpy(float), _uniform(ids, seed))
-            more = [(rest[0], int(stratum), rest[1], False)] if rest else []
-            yield pd.DataFrame([*((i, int(stratum), 1.0, True) for i in taken), *more], columns=["id", "stratum", "p", "taken"])
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, taken, left = pdf.sort_values(["stratum", "id"]), [], []
-        for _, own in pdf.groupby("stratum", sort=True):
-            ids = own["id"].to_numpy(np.int64)
-            t, rest = duels(ids, own["p"].to_numpy(float), _uniform(ids, seed + 1))
-            taken += t
-            left += [rest] if rest else []
-        ids = np.array([i for i, _ in left], np.int64)
-        t, rest = duels(ids, np.array([p for _, p in left]), _uniform(ids, seed + 2))
-        taken += t + ([rest[0]] if rest and rest[1] > 0.5 else [])
-        return pd.DataFrame({"id": taken})
-
-    cur, n, taken = rows.select("id", "stratum", "p"), total_rows, []
-    while True:  # each round leaves one row per chunk and stratum
+    def played(within: bool, last: bool, seed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat([pd.DataFrame({"id": [], "stratum": [], "p": []}), *batches]).sort_values(["stratum", "id"])
+            ids, strata, probs = pdf["id"].to_numpy(np.int64), pdf["stratum"].to_numpy(np.int64), pdf["p"].to_numpy(np.float64, copy=True)
+            taken, rest = duels(ids, strata if within else np.zeros(len(ids), np.int64), probs, seed)
+            if last:  # what is left over is a rounding error of the probabilities
+                taken, rest = np.r_[taken, rest[probs[rest] > 0.5]], rest[:0]
+            at = np.r_[taken, rest]
+            yield pd.DataFrame({"id": ids[at], "stratum": strata[at].astype(np.int32), "p": probs[at], "taken": np.r_[np.ones(len(taken), bool), np.zeros(len(rest), bool)]})
+
+        return local
+
+    cur, n, taken, step = rows.select("id", "stratum", "p"), total_rows, [], 0
+
+    def over(key: str | None, within: bool) -> None:
+        nonlocal cur, n, step
         chunks = max(1, -(-n // CHUNK_ROWS))
-        spread = cur.repartition(chunks, F.xxhash64("id")).sortWithinPartitions("stratum", "id")
-        decided = stored(spread.mapInPandas(local, out), "duels")
+        spread = cur.repartition(chunks, F.xxhash64("id" if key is None else key))
+        decided = stored(spread.mapInPandas(played(within, chunks == 1 and not within, seed + step), out), "duels")
         taken.append(decided.where("taken").select("id"))
-        cur, before = decided.where("not taken").drop("taken"), n
+        cur, step = decided.where("not taken").drop("taken"), step + 1
         n = cur.count()
-        if n <= CHUNK_ROWS or n >= before:
+
+    while n > CHUNK_ROWS:  # a row per chunk and stratum is left, so any stratum spreads over the chunks
+        before = n
+        over(None, True)
+        if 2 * n > before:
             break
-    rest = cur.groupBy(F.lit(0).alias("_")).applyInPandas(across, "id bigint")
-    for part in taken:
-        rest = rest.unionByName(part)
-    return rest
+    over("stratum", True)  # a row per stratum is left
+    while n > CHUNK_ROWS:  # a row per chunk is left
+        over(None, False)
+    over(None, False)
+    result = taken[0]
+    for part in taken[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def strata_report(rows: DataFrame, strata: list[str], targets: list[dict], one_in: int = 10) -> list[dict]:
@@ -156,12 +186,26 @@ def strata_report(rows: DataFrame, strata: list[str], targets: list[dict], one_i
     size = int(counts.sum()) // one_in
     permille = np.array([t["target_permille"] or 0 for t in targets], np.int64)
     floors = np.array([t["min_rows"] or 0 for t in targets], np.int64)
-    totals = reachable_totals(counts, permille / 1000, floors, size)
-    open_ = (counts > 0) & (totals > 0)
-    p = np.zeros(len(targets))
-    if open_.any() and size:
-        p[open_] = np.clip(tilt(np.eye(int(open_.sum())), counts[open_], size / counts.sum(), totals[open_]), 0, 1)
+    p = reachable(counts, permille / 1000, floors, size) if size else np.zeros(len(targets))
+    totals = p * counts
     return [
         {**t, "stratum": i, "eligible": int(n), "sample_size": size, "wanted": float(permille[i] * size / 1000), "reachable": float(totals[i]), "p": float(p[i]), "short": bool(n < floors[i] or n * 1000 < permille[i] * size)}
         for i, (t, n) in enumerate(zip(targets, counts.tolist(), strict=True))
     ]
+
+
+def margin_report(cells: DataFrame, margins: dict[str, dict[object, float]], one_in: int = 10) -> tuple[list[dict], list[dict]]:
+    """Probabilities of the cells when targets are given for each column alone, and
+    the margins with their gaps. `cells` has a row per combination of the columns of
+    `margins` and its count `n` (as many as the product of the target values at most;
+    others are not eligible); `margins` maps a column to the share of each value."""
+    known = [r.asDict() for r in cells.where(" and ".join(f"`{c}` is not null" for c in margins)).collect()]
+    known = [r for r in known if all(r[c] in values for c, values in margins.items())]
+    wanted = [(c, v, share) for c, values in margins.items() for v, share in values.items()]
+    counts = np.array([r["n"] for r in known], float)
+    size = int(counts.sum()) // one_in
+    features = np.array([[float(r[c] == v) for c, v, _ in wanted] for r in known]).reshape(len(known), len(wanted))
+    totals = np.array([share * size for *_, share in wanted])
+    p = tilt(features, counts, np.full(len(known), size / max(1.0, counts.sum())), totals, high=np.ones(len(known))) if size else np.zeros(len(known))
+    got = features.T @ (counts * p)
+    return [{**r, "p": float(x)} for r, x in zip(known, p, strict=True)], [{"column": c, "value": v, "wanted": float(t), "reached": float(g), "gap": float(t - g)} for (c, v, _), t, g in zip(wanted, totals, got, strict=True)]
