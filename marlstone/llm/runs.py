@@ -3,11 +3,13 @@
 Rows are range-partitioned and sorted by (group, order), so every task holds a
 contiguous chunk of the global order however many rows one group has. A chunk is
 encoded into runs with NumPy over Arrow batches (state carried from batch to
-batch); runs inside a chunk are final. The first and last run of each chunk go
-with their edge vectors to a segmented prefix merge: at most two rows per chunk,
-windowed per group, joined where the right edge of one chunk is like the left
-edge of the next. The run summary (first, last, count, times) is associative, so
-the result doesn't depend on where the chunks were cut.
+batch); runs inside a chunk are final. The first and last run of each chunk are its
+summary, at most two rows with their edge vectors. Summaries of neighbouring chunks
+are merged in parallel, a block of them at a time, joined where the right edge of one
+is like the left edge of the next; runs that no longer touch the edge of their block
+are final, and the blocks are merged in the same way, in as many rounds as the
+logarithm of the chunks. The merge is associative, so the result doesn't depend on
+where chunks and blocks were cut.
 
 Defined results: rows without group or order value are in no sequence; of rows
 with equal group and order the latest `version` stands (null loses); a null
@@ -21,12 +23,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.session import stored
 
+#: Chunks whose summaries one task merges.
+FAN = 64
 VECS = pa.list_(pa.list_(pa.float64()))
 ENCODED = "g bigint, first bigint, last bigint, n bigint, t_first double, t_last double, n_time bigint, back bigint, chunk int, edge int, head array<array<double>>, tail array<array<double>>"
 NAMES = ["g", "first", "last", "n", "t_first", "t_last", "n_time", "back", "chunk", "edge", "head", "tail"]
@@ -130,12 +135,60 @@ def encode_runs(batches: Iterator[pa.RecordBatch], vectors: int, tolerance: floa
         yield record([[x] for x in (*open_run[:8], chunk, 3 if left else 2, open_run[8], vecs(held, 0))])
 
 
-def alike_vectors(a: Column, b: Column, tolerance: float) -> Column:
-    def pair(x: Column, y: Column) -> Column:
-        close = F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(F.abs(p - q) <= tolerance, F.lit(False))), lambda z: z)
-        return F.coalesce(x.isNotNull() & y.isNotNull() & (F.size(x) == F.size(y)) & close, F.lit(False))
-
-    return F.forall(F.zip_with(a, b, pair), lambda z: z)
+def alike(a: list | None, b: list | None, tolerance: float) -> bool:
+    """Whether the vectors of two edges are all alike."""
+    if a is None or b is None:
+        return False
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None or len(x) != len(y) or any(p is None or q is None or not abs(p - q) <= tolerance for p, q in zip(x, y, strict=True)):
+            return False
+    return True
+
+
+def joined(x: dict, y: dict) -> dict:
+    """One run of two that follow each other."""
+    back = x["back"] + y["back"] + int(bool(x["n_time"] and y["n_time"]) and y["t_first"] < x["t_last"])
+    return x | {
+        "last": y["last"], "n": x["n"] + y["n"], "n_time": x["n_time"] + y["n_time"], "back": back, "t_first": x["t_first"] if x["n_time"] else y["t_first"], "t_last": y["t_last"] if y["n_time"] else x["t_last"],
+        "edge": x["edge"] & 1 | y["edge"] & 2, "tail": y["tail"],
+    }
+
+
+def merge_chunks(edges: list[dict], tolerance: float) -> list[dict]:
+    """Runs of a block from the edge rows of its chunks, in order of chunk and place.
+    Bits of `edge`: 1 the run begins its block, 2 it ends it; others are final."""
+    out: list[dict] = []
+    for row in edges:
+        if out and row["edge"] & 1 and out[-1]["edge"] & 2 and out[-1]["g"] == row["g"] and alike(out[-1]["tail"], row["head"], tolerance):
+            out[-1] = joined(out[-1], row)
+        else:
+            out.append(row | {"edge": row["edge"] & 2 if out else row["edge"]})
+    for row in out[:-1]:
+        row["edge"] &= 1
+    return out
+
+
+def merged_edges(edges: DataFrame, tolerance: float, fan: int = FAN) -> DataFrame:
+    """The final runs of the edge rows of all chunks, merged `fan` chunks at a time."""
+    done, cur = None, edges
+    while True:
+        most = cur.agg(F.max("chunk")).first()[0]
+        if most is None:
+            break
+
+        def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["chunk", "edge_at"])
+            rows = merge_chunks(pdf.to_dict("records"), tolerance)
+            return pd.DataFrame([r | {"chunk": int(key[0]), "edge_at": i} for i, r in enumerate(rows)], columns=pdf.columns)
+
+        block = cur if "edge_at" in cur.columns else cur.withColumn("edge_at", F.when(F.col("edge") == 2, 1).otherwise(0))
+        merged = stored(block.groupBy(F.floor(F.col("chunk") / fan)).applyInPandas(local, block.schema), "merged")
+        ended = merged.where("edge = 0") if most >= fan else merged
+        done = ended if done is None else done.unionByName(ended)
+        if most < fan:
+            break
+        cur = merged.where("edge > 0")
+    return (edges.limit(0) if done is None else done).select("g", "first", "last", "n", "t_first", "t_last", "n_time", "back")
 
 
 def collapse_runs(df: DataFrame, group: str, order: str, time: str, vectors: list[str], version: str, tolerance: float = 0.002, least: int = 2) -> DataFrame:
@@ -144,8 +197,7 @@ def collapse_runs(df: DataFrame, group: str, order: str, time: str, vectors: lis
     frames = df.select(
         F.col(group).cast("bigint").alias("g"), F.col(order).cast("bigint").alias("o"), F.col(time).cast("double").alias("t"), *[F.col(v).cast("array<float>").alias(f"v{i}") for i, v in enumerate(vectors)], F.col(version).alias("_ver")
     ).where("g is not null and o is not null")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = frames.repartitionByRange(parts, "g", "o").sortWithinPartitions("g", "o", F.col("_ver").desc_nulls_last()).drop("_ver")
+    chunks = frames.repartitionByRange("g", "o").sortWithinPartitions("g", "o", F.col("_ver").desc_nulls_last()).drop("_ver")
     k = len(vectors)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,22 +207,7 @@ def collapse_runs(df: DataFrame, group: str, order: str, time: str, vectors: lis
 
     encoded = stored(chunks.mapInArrow(local, ENCODED), "runs")
     inner = encoded.where("edge = 0").select("g", "first", "last", "n", "t_first", "t_last", "n_time", "back")
-    w = Window.partitionBy("g").orderBy("first")
-    joins = (F.lag("chunk").over(w) != F.col("chunk")) & ((F.lag("edge").over(w).bitwiseAND(2)) > 0) & (F.col("edge").bitwiseAND(1) > 0) & alike_vectors(F.lag("tail").over(w), F.col("head"), tolerance)
-    seen = F.last("t_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    edges = (
-        encoded.where("edge > 0")
-        .withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-        .withColumn("back", F.col("back") + F.when((F.col("_new") == 0) & (F.col("t_first") < seen), 1).otherwise(0))
-        .withColumn("_run", F.sum("_new").over(w))
-        .groupBy("g", "_run")
-        .agg(
-            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.min_by("t_first", F.when(F.col("n_time") > 0, F.col("first"))).alias("t_first"),
-            F.max_by("t_last", F.when(F.col("n_time") > 0, F.col("first"))).alias("t_last"), F.sum("n_time").alias("n_time"), F.sum("back").alias("back"),
-        )
-        .where(F.col("n") >= least)
-        .drop("_run")
-    )
+    edges = merged_edges(encoded.where("edge > 0"), tolerance).where(F.col("n") >= least)
     return inner.unionByName(edges).select(
         F.col("g").alias(group), "first", "last", "n", F.when(F.col("n_time") > 1, F.col("t_last") - F.col("t_first")).alias("duration"), F.col("back").alias("clock_steps_back")
     )

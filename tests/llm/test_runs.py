@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from marlstone.llm.runs import collapse_runs
+from marlstone.llm.runs import ENCODED, collapse_runs, merged_edges
 
 SCHEMA = "ep bigint, fr bigint, t double, v array<float>, w array<float>, ver int, g string, first int, chunk string"
 COLS = ("ep", "fr", "t", ["v", "w"], "ver")
@@ -74,3 +74,27 @@ def test_latest_version_counts_and_null_version_loses(spark):
 
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_one_episode_over_many_chunks(spark):
+    """10,000 chunks of one episode, each with one or two runs: runs join over any number of chunks."""
+    rng = random.Random(8)
+    rows, frames, value, at = [], [], 0.0, 0
+    for chunk in range(10_000):
+        own = []
+        for k in range(rng.choice([1, 1, 1, 2])):
+            if k or rng.random() < 0.2:
+                value += 1.0
+            own.append((at, at + 2, value))
+            at += 3
+        for k, (first, last, v) in enumerate(own):
+            edge = (1 if k == 0 else 0) | (2 if k == len(own) - 1 else 0)
+            frames += [(f, v) for f in range(first, last + 1)]
+            rows.append((7, first, last, 3, first / 10, last / 10, 3, 0, chunk, edge, [[v]], [[v]]))
+    got = sorted((r["first"], r["last"], r["n"], round(r["t_first"], 6), round(r["t_last"], 6), r["back"]) for r in merged_edges(spark.createDataFrame(rows, ENCODED).repartition(5), 0.002).collect())
+    want, start = [], 0
+    for i in range(1, len(frames) + 1):
+        if i == len(frames) or frames[i][1] != frames[i - 1][1]:
+            want.append((frames[start][0], frames[i - 1][0], i - start, round(frames[start][0] / 10, 6), round(frames[i - 1][0] / 10, 6), 0))
+            start = i
+    assert got == want
