@@ -63,8 +63,11 @@ def located(summary: DataFrame, keys: list[str], permilles: list[int]) -> DataFr
 
 
 def bisect(values: DataFrame, start: DataFrame, keys: list[str], max_passes: int = 200) -> DataFrame:
-    """`keys`, permille, total, value: `values` (keys, value, n) narrowed from the
-    intervals of `start` (as `located` gives them)."""
+    """`keys`, permille, total, value: `values` (keys, value; n copies if there is such
+    a column) narrowed from the intervals of `start` (as `located` gives them). Every
+    pass reads the values where they are: the open intervals go to them, and only counts
+    of the parts are shuffled."""
+    weight = F.sum("n") if "n" in values.columns else F.count(F.lit(1))
     held = [*keys, "permille", "total", "rank"]
     state = stored(start, "intervals")
     ended = []
@@ -76,7 +79,7 @@ def bisect(values: DataFrame, start: DataFrame, keys: list[str], max_passes: int
             break
         hits = lookup_join(values.withColumn("_v", F.col("value")), todo.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_v").between(F.col("lo"), F.col("hi"))], "inner", rows)
         part = F.least(F.lit(PARTS - 1), F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS).cast("int"))
-        counted = hits.groupBy(*held, part.alias("bucket")).agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        counted = hits.groupBy(*held, part.alias("bucket")).agg(weight.alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         run = Window.partitionBy(*held).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         state = stored(
             counted.withColumn("below", F.coalesce(F.sum("n").over(run), F.lit(0))).where("rank > below and rank <= below + n").select(*keys, "permille", "total", (F.col("rank") - F.col("below")).alias("rank"), "lo", "hi"), "intervals"

@@ -89,24 +89,32 @@ PERMILLES = [10, 50, 250, 500, 750, 950, 990]
 
 
 def _metric_values(spark: SparkSession, d: str) -> DataFrame:
-    """category (trimmed, lower-cased, null stays a group), day, metric, value, n."""
+    """category (trimmed, lower-cased, null stays a group), day, metric, value of every
+    valid measurement: a projection, read anew by each pass."""
     stages = table(spark, d, "stages").select(squeezed("category").alias("category"), F.to_date("processed_at").alias("day"), *METRICS)
-    return long_values(stages, ["category", "day"], METRICS).groupBy("category", "day", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long_values(stages, ["category", "day"], METRICS)
+
+
+def _with_bounds(exact: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+    """The exact percentiles with the interval that the summaries alone give."""
+    bounds = start.withColumnsRenamed({k: f"_{k}" for k in [*keys, "permille"]})
+    on = [exact[k].eqNullSafe(bounds[f"_{k}"]) for k in [*keys, "permille"]]
+    return exact.join(bounds, on).select(*keys, "permille", exact["total"], "value", F.col("lo").alias("summary_low"), F.col("hi").alias("summary_high"))
+
+
+def _overall(values: DataFrame, daily: DataFrame) -> DataFrame:
+    keys = ["category", "metric"]
+    start = stored(located(combined(daily, keys), keys, PERMILLES), "located")
+    return _with_bounds(bisect(values, start, keys), start, keys)
 
 
 def p4_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of each single day and, with a null day, of all days
     together, and the interval that the (combined) summaries alone give."""
-    keys = ["day", "category", "metric"]
-    values = stored(_metric_values(spark, d), "values")
+    keys, values = ["day", "category", "metric"], _metric_values(spark, d)
     daily = stored(summaries(values, keys), "daily")
-    every = combined(daily, keys[1:]).withColumn("day", F.lit(None).cast("date"))
-    start = stored(located(daily.where("day is not null").unionByName(every), keys, PERMILLES), "located")
-    both = values.where("day is not null").unionByName(values.withColumn("day", F.lit(None).cast("date")))
-    exact = bisect(both, start, keys)
-    bounds = start.withColumnsRenamed({k: f"_{k}" for k in [*keys, "permille"]})
-    on = [exact[k].eqNullSafe(bounds[f"_{k}"]) for k in [*keys, "permille"]]
-    return exact.join(bounds, on).select(*keys, "permille", exact["total"], "value", F.col("lo").alias("summary_low"), F.col("hi").alias("summary_high"))
+    start = stored(located(daily.where("day is not null"), keys, PERMILLES), "located")
+    return _with_bounds(bisect(values, start, keys), start, keys).unionByName(_overall(values, daily).withColumn("day", F.lit(None).cast("date")))
 
 
 def p4_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -117,19 +125,13 @@ def p4_daily(spark: SparkSession, d: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles over all days, with the interval known from the
     combined daily summaries alone."""
-    keys = ["category", "metric"]
-    values = stored(_metric_values(spark, d), "values")
-    daily = summaries(values, ["day", *keys])
-    start = stored(located(combined(daily, keys), keys, PERMILLES), "located")
-    exact = bisect(values, start, keys)
-    bounds = start.withColumnsRenamed({k: f"_{k}" for k in [*keys, "permille"]})
-    on = [exact[k].eqNullSafe(bounds[f"_{k}"]) for k in [*keys, "permille"]]
-    return exact.join(bounds, on).select(*keys, "permille", exact["total"], "value", F.col("lo").alias("summary_low"), F.col("hi").alias("summary_high"))
+    values = _metric_values(spark, d)
+    return _overall(values, stored(summaries(values, ["day", "category", "metric"]), "daily"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     clips = stored(current_clips(table(spark, d, "stages"), "sharpness", "motion_score"), "clips").where("sharpness >= 0 and not isnan(sharpness)")
-    best = top_n(clips.select("video_id", "clip_index", "sharpness", "motion_score"), ["video_id"], "sharpness", 3, [("motion_score", True), ("clip_index", False)], "clip_index")
+    best = top_n(clips.select("video_id", "clip_index", "sharpness", "motion_score"), ["video_id"], "sharpness", 3, [("motion_score", True), ("clip_index", False)])
     return best.select("video_id", "clip_index")
 
 

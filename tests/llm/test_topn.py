@@ -23,18 +23,25 @@ def expect(rows, n):
 def test_hot_group_ties_nulls_and_clashing_names(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice([None, float("nan"), float("inf"), 5.0, 5.0, rng.random() * 1000, -rng.random()]), rng.choice([None, 1.0, 2.0]), i, "mine", 4, "b") for i in range(2000)]
-    got = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "s", 3, [("t", True), ("k", False)], "k")
+    got = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "s", 3, [("t", True), ("k", False)])
     assert {(r["g"], r["k"], r["rank"]) for r in got.collect()} == expect(rows, 3)
     assert set(got.columns) == {"g", "s", "t", "k", "rank", "salt", "bucket"}
 
 
+def test_hot_and_thousands_of_small_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", f"g{rng.randint(0, 3000)}", f"g{rng.randint(0, 3000)}"]), float(rng.randint(0, 50)), None, i, "", 0, "") for i in range(9000)]
+    got = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "s", 2, [("k", False)])
+    assert {(r["g"], r["k"], r["rank"]) for r in got.collect()} == expect(rows, 2)
+
+
 def test_all_equal_and_repeated_rows(spark):
     rows = [("x", 1.0, None, 7, "", 0, "")] * 10
-    assert top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "s", 3, [("k", False)], "k").count() == 3
+    assert top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "s", 3, [("k", False)]).count() == 3
 
 
 def test_empty(spark):
-    assert top_n(spark.createDataFrame([], SCHEMA), ["g"], "s", 3, [("k", False)], "k").count() == 0
+    assert top_n(spark.createDataFrame([], SCHEMA), ["g"], "s", 3, [("k", False)]).count() == 0
 
 
 def test_current_clip_is_the_latest_row(spark):
