@@ -5,10 +5,10 @@ entity's weight is its number of records. Weights are balanced by largest
 differencing: inside each bucket of entities, sorted weights are laid out as
 tuples over `bins` slots, and the two tuples of widest spread are combined,
 largest slot onto smallest, until one tuple is left; the buckets' tuples are
-combined in the same way. The resulting nearly equal bins are given whole to the
+combined in the same way, up to 64 in a task, in rounds until one is left. The resulting nearly equal bins are given whole to the
 splits, heaviest first, each to the split furthest below its target.
 
-Only `bins` sums per bucket of up to `bucket_entities` entities reach the driver.
+Only the `bins` sums of the last tuple of each kind reach the driver.
 Rows without an entity or kind are in no split, an entity without weight weighs 0,
 repeated links change nothing, an empty table gives no rows, and columns that
 aren't named are ignored. Equal weights go by name. An entity heavier than a bin fills one
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import squeezed
 from marlstone.operators.components import components
-from marlstone.session import stored
+from marlstone.session import lookup_join, stored
 
 BINS = 500
 BUCKET_ENTITIES = 500_000
+#: Buckets whose tuples one task combines.
+MERGED = 64
 
 
 def difference(tuples: list[tuple[np.ndarray, list[list]]]) -> tuple[np.ndarray, list[list]]:
@@ -98,23 +100,33 @@ def assign_splits(weights: DataFrame, targets: list[tuple[str, int]], bins: int
 
     bucketed = w.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int"))
     placed = stored(bucketed.groupBy("kind", "bucket").applyInPandas(local, slots), "slots")
-    sums = placed.groupBy("kind", "bucket", "slot").agg(F.sum("weight").alias("w")).toPandas()  # bins per bucket
-    rows = []
-    for kind, part in sums.groupby("kind"):
+    schema = "kind string, bucket int, slot int, w bigint, up int, upslot int"
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tuples = []
-        for bucket, own in part.groupby("bucket"):
+        for bucket, own in pdf.groupby("bucket"):
             total = np.zeros(bins)
             total[own["slot"]] = own["w"]
             tuples.append((total, [[(int(bucket), s)] for s in range(bins)]))
-        total, members = difference(tuples)
+        to = {pair: slot for slot, pairs in enumerate(difference(tuples)[1]) for pair in pairs}
+        return pdf.assign(up=int(key[1]), upslot=[to[b, s] for b, s in zip(pdf["bucket"], pdf["slot"], strict=True)])
+
+    while buckets > 1:
+        sums = placed.groupBy("kind", "bucket", "slot").agg(F.sum("weight").alias("w"))
+        moved = stored(sums.groupBy("kind", F.floor(F.col("bucket") / MERGED)).applyInPandas(merge, schema), "merged")
+        placed = lookup_join(placed, moved.drop("w"), ["kind", "bucket", "slot"], "inner", moved.count()).select("kind", "component", "weight", F.col("up").alias("bucket"), F.col("upslot").alias("slot"))
+        buckets = -(-buckets // MERGED)
+    rows = []
+    sums = placed.groupBy("kind", "slot").agg(F.sum("weight").alias("w")).toPandas()  # at most `bins` of each kind
+    for kind, part in sums.groupby("kind"):
         share = sum(p for _, p in targets)
-        short = {name: total.sum() * p / share for name, p in targets}
-        for b in np.argsort(-total, kind="stable"):
+        short = {name: part["w"].sum() * p / share for name, p in targets}
+        for b, (slot, weight) in enumerate(sorted(zip(part["slot"], part["w"], strict=True), key=lambda x: (-x[1], x[0]))):
             name = max(short, key=lambda s: short[s])
-            short[name] -= total[b]
-            rows += [(kind, bucket, slot, int(b), name) for bucket, slot in members[b]]
-    where = w.sparkSession.createDataFrame(rows, "kind string, bucket int, slot int, bin int, split string")
-    return placed.join(F.broadcast(where) if len(rows) <= 50_000 else where, ["kind", "bucket", "slot"]).select("kind", "component", "weight", "bin", "split")
+            short[name] -= weight
+            rows.append((kind, int(slot), b, name))
+    where = w.sparkSession.createDataFrame(rows, "kind string, slot int, bin int, split string")
+    return lookup_join(placed, where, ["kind", "slot"], "inner", len(rows)).select("kind", "component", "weight", "bin", "split")
 
 
 def split_name(raw: Column, names: list[str]) -> Column:

@@ -31,6 +31,8 @@ from marlstone.llm.common import bounded
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The published word pattern of this family of tokenizers (fixed value).
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: DuckDB inside a task: one thread, and never a file of the machine.
+IN_MEMORY = {"threads": 1, "memory_limit": "600MB", "temp_directory": ""}
 WORDS_PER_QUERY, CACHED_WORDS = 20_000, 500_000
 
 STEP = """
@@ -82,7 +84,7 @@ class WordEncoder:
     def __init__(self, vocab: Vocabulary) -> None:
         import duckdb
 
-        self.vocab, self.db = vocab, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
+        self.vocab, self.db = vocab, duckdb.connect(":memory:", config=IN_MEMORY)
         table = pa.table({"first": vocab.first, "second": vocab.second, "merged": vocab.merged, "rank": np.arange(len(vocab.first), dtype=np.int32)})
         self.db.register("merge_rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -174,7 +176,7 @@ def decode(df: DataFrame, key: str, ids: Column, tokenizer: str = DEFAULT_TOKENI
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
+        db = duckdb.connect(":memory:", config=IN_MEMORY)
         db.register("rows", pa.table({"id": pa.array(vocab.value.keys(), pa.int32()), "piece": pa.array(vocab.value.values(), pa.string())}))
         db.execute("CREATE TABLE pieces AS SELECT * FROM rows")
         to_bytes = {ord(c): chr(b) for b, c in enumerate(byte_letters())}

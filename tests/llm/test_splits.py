@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from marlstone.llm import splits
 from marlstone.llm.splits import assign_splits, balance_bucket, entity_groups, split_name, torn_entities
 
 TARGETS = [("test", 120), ("train", 800), ("validation", 80)]
@@ -30,6 +31,16 @@ def test_shares_and_whole_entities(spark):
                 assert abs(share - permille) < 8, (kind, name, share)
 
 
+def test_buckets_are_combined_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MERGED", 4)
+    df = spark.range(4000).selectExpr("'v' as kind", "cast(id as string) as component", "1 + id % 37 as weight")
+    got = assign_splits(df, TARGETS, bins=50, bucket_entities=150).collect()
+    total = sum(r["weight"] for r in got)
+    assert len(got) == 4000 and len({r["bin"] for r in got}) == 50
+    for name, permille in TARGETS:
+        assert abs(sum(r["weight"] for r in got if r["split"] == name) * 1000 / total - permille) < 12
+
+
 def test_records_with_several_entities_tie_them(spark):
     links = spark.createDataFrame([("v", 1, "a"), ("v", 1, "b"), ("v", 2, "b"), ("v", 2, "c"), ("v", 3, "d"), ("w", 1, "a"), ("v", None, "e"), ("v", 4, None), (None, 1, "z"), ("v", 3, "d")], "kind string, record long, entity string")
     got = {(r["kind"], r["entity"]): r["component"] for r in entity_groups(links).collect()}

@@ -12,7 +12,7 @@ TEXTS = [None, "", " ", "Hello  world", "<|endoftext|>", "don't WE'LL 's", "\r\n
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(DEFAULT_TOKENIZER)
@@ -25,11 +25,11 @@ def encoder():
     return WordEncoder(Vocabulary())
 
 
-def test_ids_and_round_trip(spark, reference):
+def test_ids_and_round_trip(spark, library_ids):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(99, "Hello  world", "")], "doc_id long, text string, ids string")
     ids = encode(df, "doc_id", "text")
     got = {r["doc_id"]: r["ids"] for r in ids.collect()}
-    assert got == {i: reference(t) for i, t in enumerate(TEXTS)} | {99: reference("Hello  world")}
+    assert got == {i: library_ids(t) for i, t in enumerate(TEXTS)} | {99: library_ids("Hello  world")}
     counts = {r["doc_id"]: r["tokens"] for r in encode(df, "doc_id", "text", counts_only=True).collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     back = {r["doc_id"]: r["text"] for r in decode(ids, "doc_id", F.col("ids")).collect()}
@@ -42,9 +42,9 @@ def test_empty_table(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
-def test_any_text(encoder, reference, text):
+def test_any_text(encoder, library_ids, text):
     ids, count = encoder.encode([text])
-    assert ids.tolist() == reference(text) and count.tolist() == [len(ids)]
+    assert ids.tolist() == library_ids(text) and count.tolist() == [len(ids)]
 
 
 def test_decoding_of_odd_lists(spark):
