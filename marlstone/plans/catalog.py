@@ -50,6 +50,15 @@ def _sql_ratio(c: str, pattern: str) -> str:
 ALNUM, SPECIAL = _sql_ratio("text", T.NOT_ALNUM), _sql_ratio("text", T.ORDINARY)
 
 
+def SPECIAL_OF(c: str) -> str:  # noqa: N802
+    return _sql_ratio(c, T.ORDINARY)
+
+
+SQL_CHAIN = f"""
+WITH a AS (SELECT doc_id, {_sql_html("text")} AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '{T.LINKS}', '', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '{T.EMAILS}', '', 'g') AS t FROM b),
+chain AS (SELECT doc_id, nfc_normalize(trim(regexp_replace(t, '{T.SPACES}', ' ', 'g'))) AS t FROM c)"""
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 

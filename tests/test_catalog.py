@@ -3,7 +3,7 @@
 import pytest
 from oracle import connect, same
 
-from marlstone.plans import catalog
+from marlstone.plans import catalog, io_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
