@@ -12,7 +12,7 @@ from marlstone.llm.quality import deciding_rule, document_stats, prose_rule
 from marlstone.llm.runs import collapse_runs
 from marlstone.llm.sampling import pivotal_sample, strata_report
 from marlstone.llm.splits import assign_splits, entity_groups, split_name, torn_entities
-from marlstone.llm.tokens import decode, encode
+from marlstone.llm.tokens import DEFAULT_TOKENIZER, byte_letters, decode, encode
 from marlstone.llm.topn import top_n
 from marlstone.llm.truncation import cut_rows
 from marlstone.session import stored, table
@@ -77,10 +77,22 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(taken, rows["clip_row"] == taken["id"], "left_semi").select("clip_row", "video_id", "clip_index", "category", F.col("is_safe").cast("int").alias("is_safe"), "p")
 
 
+def p3_taken(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each stratum's rows in the sample come to within one of its reachable
+    total, and the rows of the whole sample."""
+    eligible, targets = _strata(spark, d)
+    report = strata_report(eligible, ["category", "is_safe"], targets)
+    wanted = spark.createDataFrame([(t["category"], int(t["is_safe"]), t["eligible"], t["reachable"]) for t in report], "category string, is_safe int, eligible bigint, reachable double")
+    taken = p3_sample(spark, d).groupBy("category", "is_safe").agg(F.countDistinct("clip_row").alias("taken"))
+    rows = stored(wanted.join(taken, ["category", "is_safe"], "left").withColumn("taken", F.coalesce("taken", F.lit(0))), "taken")
+    total = rows.agg(F.sum("taken").alias("sample_rows"))
+    return rows.join(F.broadcast(total)).select("category", "is_safe", "eligible", (F.abs(F.col("taken") - F.col("reachable")) < 1 + 1e-6).alias("close"), "sample_rows")
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per stratum: eligible clips, target, rows it can get, gap to the target."""
     eligible, targets = _strata(spark, d)
-    rows = [(t["category"], int(t["is_safe"]), t["eligible"], t["sample_size"], t["wanted"], round(t["reachable"], 6), round(max(0.0, t["wanted"] - t["reachable"]), 6), int(t["short"])) for t in strata_report(eligible, ["category", "is_safe"], targets)]
+    rows = [(t["category"], int(t["is_safe"]), t["eligible"], t["sample_size"], t["wanted"], round(t["reachable"], 3), round(max(0.0, t["wanted"] - t["reachable"]), 3), int(t["short"])) for t in strata_report(eligible, ["category", "is_safe"], targets)]
     return spark.createDataFrame(rows, "category string, is_safe int, eligible bigint, sample_size bigint, wanted double, reachable double, gap double, short int")
 
 
@@ -166,6 +178,13 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped.join(placed, ["kind", "component"]).select(F.col("kind").alias("entity_kind"), F.col("entity").alias("entity_key"), "rows", F.col("split").alias("split_name"))
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every entity and the number of splits that hold any of them."""
+    placed = p6_splits(spark, d).select(F.col("entity_kind").alias("kind"), F.col("entity_key").alias("entity"), "split_name")
+    rows = _entity_rows(spark, d).join(placed, ["kind", "entity"])
+    return rows.groupBy(F.col("kind").alias("entity_kind"), F.col("entity").alias("entity_key")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("split_name").alias("splits"))
+
+
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     """Rows and share of each split, by kind."""
     rows = p6_splits(spark, d).groupBy("entity_kind", "split_name").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("entities"), F.max("rows").alias("largest"))
@@ -197,6 +216,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(_token_counts(spark, d), "doc_id", "tokens")
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces and tokens of every document, and whether its containers hold no more than
+    their length, in places of their own."""
+    placed = stored(p8_containers(spark, d), "placed")
+    held = placed.groupBy("container").agg(F.sum("tokens").alias("held"), F.max("length").alias("length"), F.count(F.lit(1)).alias("n"), F.countDistinct("place").alias("places"))
+    fits = held.select("container", ((F.col("held") <= F.col("length")) & (F.col("n") == F.col("places"))).alias("fits"))
+    return placed.join(fits, "container").groupBy("doc_id").agg(F.countDistinct("piece").alias("pieces"), F.sum("tokens").alias("tokens"), F.every("fits").alias("fits"))
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """Containers and their fill by length."""
     bins = p8_containers(spark, d).groupBy("container", "length").agg(F.sum("tokens").alias("tokens"))
@@ -229,14 +257,59 @@ marked AS (
 numbered AS (
   SELECT *, sum(CASE WHEN alike THEN 0 ELSE 1 END) OVER (PARTITION BY episode_index ORDER BY frame_index) AS run FROM marked)"""
 
+_LETTERS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in byte_letters()) + "]"
+_BLANK = r"\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}"
+#: Every text cut into words (a mark splits the white space before a word) and each word's
+#: leftmost pair of least rank contracted, one at a time, until none is left.
+_BPE = rf"""
+WITH RECURSIVE model AS (SELECT model.vocab AS vocab, model.merges AS merges FROM read_json('{DEFAULT_TOKENIZER}', columns = {{model: 'STRUCT(vocab MAP(VARCHAR, INTEGER), merges JSON)'}}, maximum_object_size = 100000000)),
+vocab AS (SELECT unnest(map_keys(vocab)) AS piece, unnest(map_values(vocab)) AS id FROM model),
+raw AS (SELECT unnest(CAST(merges AS JSON[])) AS m, generate_subscripts(CAST(merges AS JSON[]), 1) AS rank FROM model),
+pairs AS (SELECT rank, CASE WHEN json_type(m) = 'ARRAY' THEN m ->> 0 ELSE split_part(m ->> '$', ' ', 1) END AS a, CASE WHEN json_type(m) = 'ARRAY' THEN m ->> 1 ELSE split_part(m ->> '$', ' ', 2) END AS b FROM raw),
+rules AS MATERIALIZED (SELECT x.id AS first, y.id AS second, any_value(z.id) AS merged, min(rank) AS rank FROM pairs JOIN vocab x ON a = x.piece JOIN vocab y ON b = y.piece JOIN vocab z ON a || b = z.piece GROUP BY 1, 2),
+byte_ids AS MATERIALIZED (SELECT list(id ORDER BY byte) AS of_byte FROM (SELECT unnest({_LETTERS}) AS piece, unnest(range(256)) AS byte) JOIN vocab USING (piece)),
+marked AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(1114109), ''), '([{_BLANK}])([{_BLANK}][^{_BLANK}])', '\1' || chr(1114109) || '\2', 'g') AS t FROM documents),
+cut AS (SELECT doc_id, regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}\x{{10fffd}}]+|[{_BLANK}]+') AS words FROM marked),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM cut),
+known AS MATERIALIZED (SELECT word, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: of_byte[('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::INTEGER + 1]) AS ids FROM (SELECT DISTINCT word FROM placed), byte_ids),
+steps(word, ids) USING KEY (word) AS (SELECT word, ids FROM known UNION
+  SELECT word, list_concat(list_concat(list_slice(ids, 1, pos - 1), [merged]), list_slice(ids, pos + 2, len(ids))) FROM (
+    SELECT word, ids, pos, merged, row_number() OVER (PARTITION BY word ORDER BY rank, pos) AS r FROM (SELECT word, ids, unnest(range(1, len(ids))) AS pos FROM steps) JOIN rules ON ids[pos] = first AND ids[pos + 1] = second) WHERE r = 1),
+coded AS (SELECT doc_id, coalesce(flatten(list(flat ORDER BY pos) FILTER (flat IS NOT NULL)), []) AS ids FROM documents LEFT JOIN (SELECT doc_id, pos, ids AS flat FROM placed JOIN steps USING (word)) USING (doc_id) GROUP BY doc_id)"""
+_VALUES = f"""
+vals AS (
+  SELECT {SQL_SQUEEZE.format("category")} AS category, processed_at::DATE AS day, m.metric, m.value FROM stages,
+    LATERAL (SELECT unnest([{{'metric': 'brightness', 'value': CASE WHEN brightness >= 0 THEN brightness END}}, {{'metric': 'contrast', 'value': CASE WHEN contrast > 0 THEN contrast END}}, {{'metric': 'sharpness', 'value': CASE WHEN sharpness >= 0 THEN sharpness END}}], recursive := true)) m
+  WHERE m.value IS NOT NULL AND NOT isnan(m.value))"""
+#: Totals in proportion to the targets between floor and count, by bisection of their scale.
+_REACHABLE = f"""
+WITH RECURSIVE {SQL_CURRENT},
+eligible AS (SELECT t.category, t.is_safe, count(c.vid) AS n, coalesce(any_value(t.min_rows), 0) AS min_rows, coalesce(any_value(t.target_permille), 0) AS permille
+  FROM sample_targets t LEFT JOIN current_clips c ON {SQL_SQUEEZE.format("c.category")} = t.category AND c.is_safe = t.is_safe GROUP BY 1, 2),
+sized AS MATERIALIZED (SELECT *, sum(n) OVER () // 10 AS size, least(min_rows, n)::DOUBLE AS low, permille / 1000.0::DOUBLE AS share FROM eligible),
+scale(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1e12::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN total < size THEN mid ELSE lo END, CASE WHEN total < size THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, sum(CASE WHEN share > 0 THEN least(n, greatest(low, (lo + hi) / 2 * share)) ELSE low END) AS total, any_value(size) AS size FROM scale, sized GROUP BY i, lo, hi) WHERE i < 150),
+reached AS (SELECT *, CASE WHEN size = 0 THEN 0 WHEN share > 0 THEN least(n, greatest(low, (SELECT hi FROM scale WHERE i = 150) * share)) ELSE low END AS reachable FROM sized)"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_sources": p1_sources,
-    "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p4_by_day": p4_by_day, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
-    "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
-    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_taken": p3_taken, "p3_report": p3_report, "p4_by_day": p4_by_day, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_whole": p6_whole, "p6_shares": p6_shares,
+    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_whole": p8_whole, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_stats": p9_stats, "p9_agreement": p9_agreement,
 }
 ORACLES = {
+    "p7_ids": f"{_BPE} SELECT doc_id, ids FROM coded",
+    "p8_found": f"{_BPE} SELECT doc_id FROM coded WHERE len(ids) > {CAPACITY}",
+    "p8_whole": f"{_BPE} SELECT doc_id, ceil(len(ids) / {CAPACITY})::BIGINT AS pieces, len(ids)::BIGINT AS tokens, true AS fits FROM coded WHERE len(ids) > 0",
+    "p3_report": f"{_REACHABLE} SELECT category, is_safe::INTEGER AS is_safe, n AS eligible, size::BIGINT AS sample_size, permille * size / 1000.0::DOUBLE AS wanted, round(reachable, 3) AS reachable, round(greatest(0, permille * size / 1000.0::DOUBLE - reachable), 3) AS gap, (n < min_rows OR n * 1000 < permille * size)::INTEGER AS short FROM reached",
+    "p3_taken": f"{_REACHABLE} SELECT category, is_safe::INTEGER AS is_safe, n AS eligible, true AS close, (SELECT round(sum(reachable))::BIGINT FROM reached) AS sample_rows FROM reached",
+    "p4_daily": f"""WITH {_VALUES}
+SELECT category, day, metric, (CASE WHEN value < 0 THEN -floor(log2(1 + abs(value)) * 64) - 1 ELSE floor(log2(1 + abs(value)) * 64) END)::INTEGER AS bucket, count(*) AS n, min(value) AS lo, max(value) AS hi FROM vals GROUP BY ALL""",
+    "p6_whole": f"""
+SELECT kind AS entity_kind, entity AS entity_key, count(*) AS rows, 1::BIGINT AS splits FROM (
+  SELECT 'video' AS kind, {SQL_SQUEEZE.format("video_id")} AS entity FROM stages UNION ALL SELECT 'episode', episode_index::VARCHAR FROM lerobot_datasource) WHERE entity IS NOT NULL GROUP BY 1, 2""",
     "p2_found": f"{_RUNS} SELECT episode_index, min(frame_index) AS first_frame, max(frame_index) AS last_frame FROM numbered GROUP BY episode_index, run HAVING count(*) > 1",
     "p2_events": f"""{_RUNS}, stepped AS (SELECT *, lag(t IGNORE NULLS) OVER (PARTITION BY episode_index, run ORDER BY frame_index) AS before FROM numbered)
 SELECT episode_index, min(frame_index) AS first_frame, max(frame_index) AS last_frame, count(*) AS frames,

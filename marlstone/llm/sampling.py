@@ -47,7 +47,7 @@ def tilt(features: np.ndarray, counts: np.ndarray, base: np.ndarray, totals: np.
     low = np.zeros(len(counts)) if low is None else low
     high = np.full(len(counts), np.inf) if high is None else high
     dual, scale = np.zeros(features.shape[1]), max(1.0, float(np.abs(totals).max(initial=0)))
-    penalty = 1e-12 * scale  # a quadratic penalty on the dual: infeasible moments are missed, not chased for ever
+    penalty = 1e-14 * scale  # a quadratic penalty on the dual: infeasible moments are missed, not chased for ever
     with np.errstate(divide="ignore"):
         at_low, at_high = np.log(low) - np.log(base), np.log(high) - np.log(base)
 
@@ -63,7 +63,7 @@ def tilt(features: np.ndarray, counts: np.ndarray, base: np.ndarray, totals: np.
     value, p, inside = parts(dual)
     for _ in range(steps):
         grad = features.T @ (counts * p) - totals + penalty * dual
-        if np.abs(grad).max(initial=0) < 1e-9 * scale:
+        if np.abs(grad).max(initial=0) < 1e-13 * scale:
             break
         hess = (features * (counts * p * inside)[:, None]).T @ features
         step = np.linalg.solve(hess + (penalty + 1e-9 * max(np.trace(hess), 1e-3 * scale)) * np.eye(len(dual)), grad)
