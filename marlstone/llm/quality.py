@@ -75,19 +75,19 @@ def foreign(unit: str, words: list[str], stopped: bool) -> bool | None:
     return None
 
 
-def running(unit: str, words: list[str], common: frozenset[str], stopped: bool, least: int = 4) -> bool:
-    """Whether a stretch of text (with its lower-cased words) reads as a sentence:
-    enough words, mostly letters, and common words among them; more of these
-    where no full stop ends it."""
+def running(unit: str, words: list[str], common: int, chars: int, stopped: bool, least: int = 4) -> bool:
+    """Whether a stretch of text (with its lower-cased words, how many of them are
+    common and how many characters they have) reads as a sentence: enough words, mostly
+    letters, and common words among them; more of these where no full stop ends it."""
     n = len(words)
     if not unit.isascii() and (told := foreign(unit, words, stopped)) is not None:
         return told
     if n < (least if stopped else 8) or not stopped and (least > 4 or n < WORDS_PER_CELL * separators(unit)):
         return False
-    if sum(map(common.__contains__, words)) < (0.12 if stopped else UNSTOPPED) * n or unit.count("=") >= 0.15 * n:
+    if common < (0.12 if stopped else UNSTOPPED) * n or unit.count("=") >= 0.15 * n:
         return False
     parts = unit.split()
-    return n >= 0.6 * len(parts) and sum(map(len, words)) >= 0.6 * sum(map(len, parts))
+    return n >= 0.6 * len(parts) and chars >= 0.6 * sum(map(len, parts))
 
 
 UNSTOPPED = 0.24
@@ -165,23 +165,26 @@ def text_stats(raw: str | None, common: frozenset[str]) -> tuple[list, list[str]
     item = [bool(x) and is_item(x) for x in every]
     form = [bool(x) and not i and is_form(x) for x, i in zip(every, item, strict=True)]
     words: list[str] = []
-    in_sentences = sentence_count = sentence_words = 0
+    in_sentences = sentence_count = sentence_words = known = word_chars = 0
     for unit, stopped, least in units(every, [i or f for i, f in zip(item, form, strict=True)]):
         own = WORD.findall(unit.lower())
         words += own
-        if running(unit, own, common, stopped, least):
+        known_here, chars = sum(map(common.__contains__, own)), sum(map(len, own))
+        known += known_here
+        word_chars += chars
+        if running(unit, own, known_here, chars, stopped, least):
             in_sentences += len(unit)
             sentence_count += 1
             sentence_words += len(own)
     lines = [x for x in every if x] or [text]
     dense = "".join(text.split())
     n, letters, digits = max(1, len(dense)), len(OTHER.sub("", dense)), sum(map(dense.count, "0123456789"))
-    total, word_chars, k_words = sum(map(len, lines)), sum(map(len, words)), max(1, len(words))
+    total, k_words = sum(map(len, lines)), max(1, len(words))
     seen = Counter(lines)
     paras = Counter(p.strip() for p in PARAGRAPH.split(text) if p.strip()) if "\n" in text else {}
     size = sum(len(p) * k for p, k in paras.items()) or 1
     return [
-        len(words), word_chars / k_words, (n - letters - digits) / n, len(lines), sum(x.rstrip(CLOSERS)[-1:] in ENDS for x in lines) / len(lines), sum(map(common.__contains__, words)) / k_words, sum(len(x) for x, i in zip(every, item, strict=True) if i) / total, digits / n,
+        len(words), word_chars / k_words, (n - letters - digits) / n, len(lines), sum(x.rstrip(CLOSERS)[-1:] in ENDS for x in lines) / len(lines), known / k_words, sum(len(x) for x, i in zip(every, item, strict=True) if i) / total, digits / n,
         min(1.0, in_sentences / max(1, len(text.strip()))), sum(len(x) * (k - 1) for x, k in seen.items()) / total, sum(len(p) * (k - 1) for p, k in paras.items()) / size,
         sum(separators(x) >= 2 for x in lines) / len(lines), sum(form) / len(lines), sentence_words / max(1, sentence_count),
     ], words
@@ -199,23 +202,29 @@ def ngram_coverage(words: list[list[str]]) -> np.ndarray:
     code = np.fromiter(map(hash, flat), np.int64, len(flat)).astype(np.uint64)
     row, upto = np.repeat(np.arange(len(words)), size), np.r_[0, np.cumsum(chars)]
     total = np.maximum(1, np.bincount(row, weights=chars, minlength=len(words)))
-    acc = row.astype(np.uint64)
-    for k in range(1, max(NGRAMS) + 1):
-        m = len(flat) - k + 1
-        if m < 2:
+    inside, acc = np.arange(len(flat)), code
+    for k in range(2, max(NGRAMS) + 1):
+        going = inside + k <= len(flat)  # a longer n-gram is repeated only where the shorter one is
+        inside, acc = inside[going], acc[going]
+        same = row[inside] == row[inside + k - 1]
+        inside, acc = inside[same], acc[same]
+        if len(inside) < 2:
             break
-        acc = (acc[:m] ^ (acc[:m] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 :]
-        inside = np.flatnonzero(row[:m] == row[k - 1 :])
-        if k not in NGRAMS or len(inside) < 2:
-            continue
-        order = inside[np.argsort(acc[inside])]
-        first = np.flatnonzero(np.r_[True, acc[order[1:]] != acc[order[:-1]]])
+        acc = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + code[inside + k - 1]
+        key = acc + row[inside].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        sorting = np.argsort(key)
+        order, key = inside[sorting], key[sorting]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[first, len(order)])
+        again = np.sort(sorting[np.repeat(count > 1, count)])
+        inside, acc = inside[again], acc[again]
         at = np.minimum.reduceat(order, first)[count > 1]  # repeated n-grams only; of equal ones the earliest
         first, count = first[count > 1], count[count > 1]
         best = np.lexsort((-at, count * (upto[at + k] - upto[at]), row[at]))
         best = best[np.r_[row[at][best][1:] != row[at][best][:-1], np.ones(min(1, len(best)), bool)]]  # one of each row
         n = count[best]
+        if not len(best):
+            break
         hit = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[best], n)]
         edges = np.bincount(hit, minlength=len(flat) + 1) - np.bincount(hit + k, minlength=len(flat) + 1)
         covered = np.cumsum(edges[:-1]) > 0
