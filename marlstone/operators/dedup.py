@@ -5,8 +5,8 @@ bands per task. Every other text gets the minima of `permutations` hash function
 over its distinct character windows, cut into bands. In every bucket of a band the
 least id is the representative; the others are compared with it (a star, never all
 pairs) and linked where the Jaccard similarity of the exact window sets reaches the
-threshold. Those that fail stay in the bucket and get a new representative among
-themselves, round by round, until no bucket has two texts left. Components of the
+threshold. Those that fail stay in the bucket and get new representatives among
+themselves, two, then four, and so on, until no bucket has two texts left. Components of the
 verified links are the classes and the least id of each class survives. Null texts
 are kept as they are.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import window_hashes
@@ -73,7 +73,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def verified_links(buckets: DataFrame, texts: DataFrame, window: int, threshold: float) -> DataFrame:
     """`src, dst` of texts (id, t) that share a bucket of `buckets` (band, id), were
     compared as representative and member, and are as similar as the threshold."""
-    entries = stored(buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "band", "left_semi"), "entries")
+    def shared(e: DataFrame) -> DataFrame:
+        return e.join(e.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "band", "left_semi")
+
+    entries = stored(shared(buckets), "entries")
     known = stored(texts.join(entries.select("id").distinct(), "id", "left_semi"), "linked")
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -87,16 +90,19 @@ def verified_links(buckets: DataFrame, texts: DataFrame, window: int, threshold:
                 keep.append(jaccard(held[1], np.unique(window_hashes(b.lower(), window))) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    links = None
+    links, reps = None, 1
     while entries.take(1):
-        least = entries.groupBy("band").agg(F.min("id").alias("src"))
-        met = stored(entries.join(least, "band").where("id <> src"), "met")
+        first = Window.partitionBy("band").orderBy("id")
+        stars = entries.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= reps).select("band", F.col("id").alias("src"))
+        met = entries.join(stars, "band").where("id > src")
         pairs = met.select("src", F.col("id").alias("dst")).distinct()
         pairs = pairs.join(known.select(F.col("id").alias("src"), F.col("t").alias("a")), "src").join(known.select(F.col("id").alias("dst"), F.col("t").alias("b")), "dst")
         good = stored(pairs.select("src", "dst", "a", "b").sortWithinPartitions("src").mapInArrow(check, f"src {kind}, dst {kind}"), "good")
         links = good if links is None else links.unionByName(good)
-        left = met.join(good.select("src", F.col("dst").alias("id")), ["src", "id"], "left_anti").select("band", "id")
-        entries = stored(left.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "band", "left_semi"), "entries")
+        served = met.join(good.select("src", F.col("dst").alias("id")), ["src", "id"], "left_semi").select("band", "id").unionByName(stars.withColumnRenamed("src", "id"))
+        left = entries.join(served, ["band", "id"], "left_anti")
+        entries = stored(shared(left), "entries")
+        reps *= 2
     return links if links is not None else entries.select(F.col("id").alias("src"), F.col("id").alias("dst"))
 
 
