@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import window_hashes
 from marlstone.operators.components import components
-from marlstone.session import stored
+from marlstone.session import spread, stored
 
 #: Texts a task remembers, so that copies are signed once.
 REMEMBERED = 200_000
@@ -134,7 +134,7 @@ def duplicate_classes(df: DataFrame, key: str, text: str, window: int = 5, thres
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["id", "h", "bands"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    signed = stored(texts.mapInArrow(sign, f"id {kind}, h binary, bands array<bigint>"), "signed")
+    signed = stored(spread(texts).mapInArrow(sign, f"id {kind}, h binary, bands array<bigint>"), "signed")
     leaders = signed.groupBy("h").agg(F.min("id").alias("leader"))
     banded = signed.where(F.size("bands") > 0).join(leaders, "h").select(F.col("leader").alias("id"), F.explode("bands").alias("band")).distinct()
     found = components(verified_links(stored(banded, "bands"), texts, window, threshold))

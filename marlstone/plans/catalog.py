@@ -12,7 +12,7 @@ from marlstone.operators import basics, clips, feed, temporal
 from marlstone.operators.dedup import duplicate_classes
 from marlstone.plans import episodes as E
 from marlstone.plans import pipeline
-from marlstone.session import stored, table
+from marlstone.session import spread, stored, table
 from marlstone.streaming.incremental import stream_clean
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +117,7 @@ ranked AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n D
 SELECT doc_id, round(coalesce(r.ratio, 0), 9) AS ratio FROM chars LEFT JOIN
   (SELECT doc_id, sum(CASE WHEN r <= least(floor(sqrt(kinds)), kinds - single) THEN n ELSE 0 END) / any_value(total) AS ratio FROM ranked GROUP BY doc_id) r USING (doc_id)""")
 def char_repetition(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("text is not null").select("doc_id", F.round(T.char_repetition(F.col("text"), 10), 9).alias("ratio"))
+    return spread(_docs(spark, d)).where("text is not null").select("doc_id", F.round(T.char_repetition(F.col("text"), 10), 9).alias("ratio"))
 
 
 @query()

@@ -106,6 +106,13 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it has fewer partitions than these (a few small
+    files); otherwise as it is. For steps that cost more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list, how: str, right_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a lookup side of counted size: broadcast up to `limit` rows,
     a shuffled join (split by adaptive execution where skewed) beyond."""
