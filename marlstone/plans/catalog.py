@@ -276,9 +276,10 @@ def part_row_block(spark: SparkSession, d: str) -> DataFrame:
     return E.by_blocks(_offsets(spark, d), 1000)
 
 
-@query(f'{SQL_SLICES} SELECT task, count(*) AS slices, sum("end" - start)::BIGINT AS rows FROM assigned GROUP BY task')
+@query(f'{SQL_SLICES} SELECT task, count(*) AS slices, sum("end" - start)::BIGINT AS rows, sum("end" - start)::BIGINT * 64 AS bytes FROM assigned GROUP BY task')
 def plan_ntile(spark: SparkSession, d: str) -> DataFrame:
-    return E.tasks(E.by_episode(_offsets(spark, d)), 8).groupBy("task").agg(F.count(F.lit(1)).alias("slices"), F.sum(F.col("end") - F.col("start")).alias("rows"))
+    """Slices, rows and estimated bytes of each task; a row of these tables has 64."""
+    return E.totals(E.tasks(E.by_episode(_offsets(spark, d)), 8), 64)
 
 
 @query(f"""{SQL_SLICES}, marked AS (SELECT *, CASE WHEN lag("end") OVER w = start THEN 0 ELSE 1 END AS o FROM assigned WINDOW w AS (PARTITION BY task, dataset_index ORDER BY start, "end")),
@@ -505,7 +506,7 @@ def clip_quality(spark: SparkSession, d: str) -> DataFrame:
   WHERE n / 30.0 >= 1.0 AND round_even(br, 2) BETWEEN 30 AND 240 AND round_even(co, 2) >= 20 AND round_even(sh, 2) >= 50 AND round_even(mo, 2) >= 0.5)
 SELECT video, clip_index::BIGINT AS clip_index, start_frame, end_frame, n AS clip_num_frames, round(start_frame / 30.0, 3) AS start_sec, round(end_frame / 30.0, 3) AS end_sec, round(seconds, 3) AS clip_duration_sec, 30.0::DOUBLE AS fps,
   least((start_frame + end_frame) // 2, total - 1)::BIGINT AS mid_frame, list_transform(range(3), lambda i: floor(start_frame + i * ((end_frame - 1 - start_frame) / 2))::BIGINT) AS keyframes,
-  list_sort(list_distinct(list_append(keyframes, mid_frame))) AS needed FROM kept""")
+  list_sort(list_distinct(list_append(keyframes, mid_frame))) AS needed, list_transform(keyframes, lambda f: list_position(needed, f)::BIGINT - 1) AS keyframe_positions FROM kept""")
 def video_clips(spark: SparkSession, d: str) -> DataFrame:
     """From frames to the rows of the clips of good quality."""
     frames = stored(_frames(spark, d), "frames")

@@ -85,6 +85,12 @@ def tasks(slices: DataFrame, parallelism: int) -> DataFrame:
     return evenly(slices, ["dataset_index", "start", "end"], parallelism)
 
 
+def totals(assigned: DataFrame, row_bytes: int) -> DataFrame:
+    """task, slices, rows, bytes (estimated from the size of a row)."""
+    rows = F.sum(F.col("end") - F.col("start"))
+    return assigned.groupBy("task").agg(F.count(F.lit(1)).alias("slices"), rows.alias("rows"), (rows * row_bytes).alias("bytes"))
+
+
 def merged(assigned: DataFrame) -> DataFrame:
     """task, dataset_index, start, end: slices of a task that abut become one."""
     w = Window.partitionBy("task", "dataset_index").orderBy("start", "end")

@@ -277,3 +277,11 @@ def test_intermediate_tables_go_on_release(spark):
     assert df.count() == 5 and os.path.exists(path)
     release()
     assert not os.path.exists(path)
+
+
+def test_positions_sizing_and_placement(spark):
+    r = spark.range(1).select(clips.positions(F.array(F.lit(3), F.lit(5), F.lit(9)), F.array(F.lit(9), F.lit(3), F.lit(4))).alias("p")).first()
+    assert r["p"] == [2, 0, None]
+    assert clips.runs_eager(19) and not clips.runs_eager(20) and clips.replicas(2) == 8 and clips.replicas(6) == 12
+    profile = clips.placed_on(2, gpu=1)
+    assert profile.taskResources["cpus"].amount == 2.0 and profile.executorResources["gpu"].amount == 1
