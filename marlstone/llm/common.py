@@ -19,6 +19,14 @@ def squeezed(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, OUTER_SPACE, ""))
 
 
+def small(df: DataFrame, most: int) -> list:
+    """The rows of a table that is small by its meaning; more than `most` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows is expected here: {df.columns}")
+    return rows
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `size` bytes of text, so that what a kernel
     builds from a slice stays small however long the texts are."""

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded
+from marlstone.llm.common import bounded, small
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|<\|[a-z_]+\|>|&[a-z]{2,6};")
@@ -244,10 +244,14 @@ SYMBOL_SHARE, DIGIT_SHARE = 0.35, 0.35
 STRUCTURE_SHARE, STRUCTURED_PROSE = 0.6, 0.6
 
 
+#: Words of a list of frequent words.
+MOST_WORDS = 200_000
+
+
 def document_stats(df: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
     """`key` and the statistics of each row; `common` is a word list (column word)
     of bounded size, all of whose languages count."""
-    words = frozenset(r[0] for r in common.select(F.lower("word")).where("word is not null").distinct().collect())
+    words = frozenset(r[0] for r in small(common.select(F.lower("word").alias("word")).where("word is not null").distinct(), MOST_WORDS))
     rows = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
     kind = rows.schema[0].dataType.simpleString()
 

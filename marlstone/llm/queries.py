@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import current_clips, squeezed
+from marlstone.llm.common import current_clips, small, squeezed
 from marlstone.llm.packing import CAPACITY, pack, pieces
 from marlstone.llm.percentiles import bisect, combined, located, long_values, summaries
 from marlstone.llm.quality import deciding_rule, document_stats, prose_rule
@@ -26,6 +26,10 @@ current_clips AS (
   WHERE rn = 1)"""
 
 
+#: Rows of a table of targets; so many strata at most reach the driver or are broadcast.
+MOST_TARGETS = 10_000
+
+
 def _cut(spark: SparkSession, d: str) -> DataFrame:
     return cut_rows(table(spark, d, "stages"), "clip_row", "vlm_description", "source")
 
@@ -55,7 +59,7 @@ def p2_events(spark: SparkSession, d: str) -> DataFrame:
 
 def _strata(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     """Eligible current clips with their stratum, and the targets table (22 rows)."""
-    targets = [r.asDict() for r in table(spark, d, "sample_targets").orderBy("category", "is_safe").collect()]
+    targets = sorted((r.asDict() for r in small(table(spark, d, "sample_targets"), MOST_TARGETS)), key=lambda t: (t["category"] or "", t["is_safe"] or False))
     names = spark.createDataFrame([(t["category"], t["is_safe"], i) for i, t in enumerate(targets)], "category string, is_safe boolean, stratum int")
     clips = current_clips(table(spark, d, "stages"), "category", "is_safe").withColumn("category", squeezed("category"))
     return stored(clips.join(F.broadcast(names), ["category", "is_safe"]), "eligible"), targets
@@ -155,7 +159,7 @@ def _entity_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, int]]:
-    return [(r["split_name"], r["target_permille"]) for r in table(spark, d, "split_targets").orderBy("split_name").collect()]
+    return sorted((r["split_name"], r["target_permille"]) for r in small(table(spark, d, "split_targets"), MOST_TARGETS))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

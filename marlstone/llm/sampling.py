@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import small
 from marlstone.session import stored
 
 CHUNK_ROWS = 100_000
@@ -199,8 +200,9 @@ def margin_report(cells: DataFrame, margins: dict[str, dict[object, float]], one
     the margins with their gaps. `cells` has a row per combination of the columns of
     `margins` and its count `n` (as many as the product of the target values at most;
     others are not eligible); `margins` maps a column to the share of each value."""
-    known = [r.asDict() for r in cells.where(" and ".join(f"`{c}` is not null" for c in margins)).collect()]
-    known = [r for r in known if all(r[c] in values for c, values in margins.items())]
+    for c, values in margins.items():
+        cells = cells.where(F.col(c).isin(*values))
+    known = [r.asDict() for r in small(cells, int(np.prod([len(v) for v in margins.values()])))]
     wanted = [(c, v, share) for c, values in margins.items() for v, share in values.items()]
     counts = np.array([r["n"] for r in known], float)
     size = int(counts.sum()) // one_in

@@ -88,3 +88,9 @@ def test_values_of_a_small_text(spark, common):
 
 def test_empty_table(spark, common):
     assert judged(spark, common, []) == {}
+
+
+def test_a_list_of_words_must_be_small(spark, common, monkeypatch):
+    monkeypatch.setattr("marlstone.llm.quality.MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="at most 3"):
+        judged(spark, common, ["x"])
