@@ -240,6 +240,12 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return document_stats(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).withColumn("rule", deciding_rule()).withColumn("prose", prose_rule())
 
 
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that plain counting gives, to 9 decimals."""
+    shares = ["mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "duplicate_lines"]
+    return p9_stats(spark, d).select("doc_id", "words", "lines", *[F.round(c, 9).alias(c) for c in shares])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_stats(spark, d).where("not prose").select("doc_id")
 
@@ -301,9 +307,25 @@ QUERIES = {
     "p2_found": p2_found, "p2_events": p2_events, "p3_found": p3_found, "p3_sample": p3_sample, "p3_taken": p3_taken, "p3_report": p3_report, "p4_by_day": p4_by_day, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p6_whole": p6_whole, "p6_shares": p6_shares,
     "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_containers": p8_containers, "p8_whole": p8_whole, "p8_fill": p8_fill,
-    "p9_found": p9_found, "p9_stats": p9_stats, "p9_agreement": p9_agreement,
+    "p9_found": p9_found, "p9_counts": p9_counts, "p9_stats": p9_stats, "p9_agreement": p9_agreement,
 }
+_WORD = r"[\p{L}\p{Nl}\p{No}]"
+_COUNTS = rf"""
+WITH seen AS (SELECT doc_id, regexp_replace(replace(replace(replace(replace(nfc_normalize(text), chr(8232), chr(10)), chr(8233), chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '</?[a-zA-Z][^<>\n]*>|<\|[a-z_]+\|>|&[a-z]{{2,6}};', ' ', 'g') AS t
+  FROM documents WHERE regexp_matches(text, '[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}]')),
+line AS (SELECT doc_id, l FROM (SELECT doc_id, regexp_replace(unnest(string_split(t, chr(10))), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS l FROM seen) WHERE l <> ''),
+per_line AS (SELECT doc_id, count(*) AS lines, sum(length(l)) AS total, avg(regexp_matches(l, '[.!?…。！？:;]["''”’»)\]]*$')::INT) AS punctuated FROM line GROUP BY 1),
+again AS (SELECT doc_id, sum(length(l) * (k - 1)) AS twice FROM (SELECT doc_id, l, count(*) AS k FROM line GROUP BY ALL) GROUP BY 1),
+word AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '{_WORD}+(?:[''’\-]{_WORD}+)*')) AS w FROM seen),
+listed AS (SELECT DISTINCT lower(word) AS w, 1 AS hit FROM common_words WHERE word IS NOT NULL),
+per_word AS (SELECT doc_id, count(*) AS words, avg(length(w)) AS mean, avg(coalesce(hit, 0)) AS common FROM word LEFT JOIN listed USING (w) GROUP BY 1),
+dense AS (SELECT doc_id, regexp_replace(t, '[{_BLANK}]+', '', 'g') AS x FROM seen),
+per_char AS (SELECT doc_id, greatest(1, length(x)) AS n, length(regexp_replace(x, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(x, '[^\p{{L}}\p{{Nl}}\p{{No}}]', '', 'g')) AS letters FROM dense)
+SELECT doc_id, coalesce(words, 0) AS words, coalesce(lines, 0) AS lines, CASE WHEN n IS NOT NULL THEN round(coalesce(mean, 0), 9) END AS mean_word_length, round((n - letters - digits) / n, 9) AS symbol_ratio, round(punctuated, 9) AS punctuated_lines,
+  CASE WHEN n IS NOT NULL THEN round(coalesce(common, 0), 9) END AS common_words, round(digits / n, 9) AS digit_ratio, round(twice / total, 9) AS duplicate_lines
+FROM documents LEFT JOIN per_word USING (doc_id) LEFT JOIN per_line USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN per_char USING (doc_id)"""
 ORACLES = {
+    "p9_counts": _COUNTS,
     "p7_ids": f"{_BPE} SELECT doc_id, ids FROM coded",
     "p8_found": f"{_BPE} SELECT doc_id FROM coded WHERE len(ids) > {CAPACITY}",
     "p8_whole": f"{_BPE} SELECT doc_id, ceil(len(ids) / {CAPACITY})::BIGINT AS pieces, len(ids)::BIGINT AS tokens, true AS fits FROM coded WHERE len(ids) > 0",
