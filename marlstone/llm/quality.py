@@ -181,12 +181,13 @@ def text_stats(raw: str | None, common: frozenset[str]) -> tuple[list, list[str]
     n, letters, digits = max(1, len(dense)), len(OTHER.sub("", dense)), sum(map(dense.count, "0123456789"))
     total, k_words = sum(map(len, lines)), max(1, len(words))
     seen = Counter(lines)
+    celled = "|" in text or ";" in text or "\t" in text or "  " in text or text.count(",") != text.count(", ")
     paras = Counter(p.strip() for p in PARAGRAPH.split(text) if p.strip()) if "\n" in text else {}
     size = sum(len(p) * k for p, k in paras.items()) or 1
     return [
-        len(words), word_chars / k_words, (n - letters - digits) / n, len(lines), sum(x.rstrip(CLOSERS)[-1:] in ENDS for x in lines) / len(lines), known / k_words, sum(len(x) for x, i in zip(every, item, strict=True) if i) / total, digits / n,
+        len(words), word_chars / k_words, (n - letters - digits) / n, len(lines), sum(x[-1] in ENDS or x[-1] in CLOSERS and x.rstrip(CLOSERS)[-1:] in ENDS for x in lines) / len(lines), known / k_words, sum(len(x) for x, i in zip(every, item, strict=True) if i) / total, digits / n,
         min(1.0, in_sentences / max(1, len(text.strip()))), sum(len(x) * (k - 1) for x, k in seen.items()) / total, sum(len(p) * (k - 1) for p, k in paras.items()) / size,
-        sum(separators(x) >= 2 for x in lines) / len(lines), sum(form) / len(lines), sentence_words / max(1, sentence_count),
+        sum(separators(x) >= 2 for x in lines) / len(lines) if celled else 0.0, sum(form) / len(lines), sentence_words / max(1, sentence_count),
     ], words
 
 
