@@ -9,13 +9,13 @@
 2. It reduces each text to its closing contexts, its outermost trailing marker,
    its length, and the buckets of its possible cuts: three min-hash bands of the
    five-word shingles before the cut, as running minima, so a text has a few spans
-   of places per band.
-3. `near_copies` gives every bucket (band key and place) two representatives, takes
-   the texts that end without a full stop there to them (a star, filtered to asked
-   buckets first, so neither a hot bucket nor a group of copies gives all pairs),
-   keeps pairs that share 0.8 of the shorter text's shingles, aligns them along the
-   last whole shingle, and tells whether the longer text goes on within the clause
-   or word. A text that lost more than half of its shingles is no near-copy of it.
+   of places per band. A mask of 128 bits stands for its shingles.
+3. `near_copies` takes every text that ends without a full stop to all texts of its
+   buckets (band key and place). Pairs whose masks prove that they share less than
+   0.8 of the shorter text's shingles, or not its last one, end there, as a stream
+   inside the join; all others are read and verified, aligned along the last whole
+   shingle, and tell whether the longer text goes on within the clause or word. A
+   text that lost more than half of its shingles is no near-copy of it.
 4. `cut_rows` flags a text whose alignment ends early, whose reply is not closed,
    whose quotation is open, that ends in a fragment or in closing words that
    hardly ever close, that carries a marker which mostly stands for lost text,
@@ -265,12 +265,15 @@ class EndCounts:
         return np.concatenate([self.keys[0], more]).view(np.int64), np.concatenate([self.counts[0], np.zeros(len(more), np.int64)])
 
 
-ROWS_OUT = "text_hash bigint, copies bigint, chars int, bytes int, marker string, state int, ctx array<bigint>, fragments array<bigint>, asks array<bigint>, at int, tokens binary, word string, key bigint, n bigint, band bigint, first int, last int, rep bigint"
+ROWS_OUT = "text_hash bigint, copies bigint, chars int, bytes int, marker string, state int, ctx array<bigint>, fragments array<bigint>, asks array<bigint>, at int, tokens binary, word string, ask_low bigint, ask_high bigint, tail int, slack int, spans array<struct<band:bigint,first:int,last:int>>, low bigint, high bigint, key bigint, n bigint"
 NAMES = [f.split(" ")[0] for f in ROWS_OUT.split(", ")]
-ARROW = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+SPANS = pa.list_(pa.struct([("band", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+ARROW = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), SPANS, pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 OPEN_REPLY, COMPLETE, BARE, OPEN_END = 3, 0, 1, 2
 #: Words and contexts a task holds before it gives out its counts.
 HELD = 1_000_000
+#: Texts that ask in one bucket are met in blocks of so many.
+ASKING = 1_000
 #: After these more text must come.
 GOES_ON = frozenset(",;:([{-–—/&+、，：；（「『")
 
@@ -314,33 +317,38 @@ def running_bands(shingles: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-class Places:
-    """Where texts could be cut: (band key, first and last place it holds for, least
-    text with it), equal ones of a task once. A band changes only where a minimum
-    does, so a text has a few spans per band, not one per place."""
-
-    def __init__(self) -> None:
-        self.held: list[np.ndarray] = []
-        self.count = 0
-
-    def add(self, bands: np.ndarray, where: np.ndarray, row: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> None:
-        """`bands` at the positions `where`, which are in order of row and place."""
-        row, place = row[where], place[where]
-        for keys in bands[:, where]:
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]) if len(keys) else np.zeros(0, np.int64)
-            end = np.r_[new[1:], len(keys)] - 1
-            span = place[new].astype(np.uint64) << np.uint64(32) | place[end].astype(np.uint64)
-            self.held.append(np.stack([keys[new], span, hashes[row[new]].view(np.uint64)]))
-            self.count += len(new)
-
-    def merged(self) -> np.ndarray:
-        every = np.concatenate([np.zeros((3, 0), np.uint64), *self.held], axis=1)
-        order = np.lexsort((every[2].view(np.int64), every[1], every[0]))
-        every = every[:, order]
-        keep = np.r_[True, (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1])][: every.shape[1]]
-        self.held = [every[:, keep]]
-        self.count = self.held[0].shape[1]
-        return self.held[0]
+def spans_of(bands: np.ndarray, where: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int) -> pa.Array:
+    """Where the text of each row could be cut: (band key, first and last place it holds
+    for). `bands` at the positions `where`, which are in order of row and place. A band
+    changes only where a minimum does, so a text has a few spans per band, not one per
+    place."""
+    row, place = row[where], place[where]
+    found = []
+    for keys in bands[:, where]:
+        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]) if len(keys) else np.zeros(0, np.int64)
+        end = np.r_[new[1:], len(keys)] - 1
+        found.append((row[new], keys[new], place[new], place[end] if len(new) else place[new]))
+    own, keys, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(own, kind="stable")
+    offsets = np.r_[0, np.cumsum(np.bincount(own, minlength=rows))].astype(np.int32)
+    parts = [pa.array(keys[order].view(np.int64)), pa.array(first[order].astype(np.int32)), pa.array(last[order].astype(np.int32))]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, names=["band", "first", "last"]))
+
+
+def masks(shingles: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Low and high half of each row's mask of 128 bits, a bit for each shingle, the
+    same of all shingles but the last, the number of shingles, and the bit of each."""
+    bit = (mix(shingles * OPENING) >> np.uint64(57)).astype(np.int64)
+    value = np.uint64(1) << (bit & 63).astype(np.uint64)
+    size = np.bincount(row, minlength=rows)
+    some = np.flatnonzero(size)
+    start, final = (np.cumsum(size) - size)[some], np.zeros(len(bit), bool)
+    final[(np.cumsum(size) - 1)[some]] = True
+    out = np.zeros((4, rows), np.uint64)
+    for i, use in enumerate((bit < 64, bit >= 64, (bit < 64) & ~final, (bit >= 64) & ~final)):
+        if len(some):
+            out[i, some] = np.bitwise_or.reduceat(np.where(use, value, np.uint64(0)), start)
+    return out[:2], out[2:], size, bit
 
 
 def lists_of(values: np.ndarray, chosen: np.ndarray) -> pa.Array:
@@ -350,14 +358,15 @@ def lists_of(values: np.ndarray, chosen: np.ndarray) -> pa.Array:
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text that is not blank, and the task's end counts (key, n) and
-    places (band, first, last, rep); takes each text once, as (hash, text, rows that
-    carry it).
+    """One row per text that is not blank, and the task's end counts (key, n); takes
+    each text once, as (hash, text, rows that carry it).
 
     Every place where a cut would leave at least half of a text's shingles is
-    in the buckets of the min-hash bands of the shingles before it. A text without
-    closing full stop asks in the buckets of its own last word."""
-    codes, ends, places = Codes(), EndCounts(), Places()
+    in the buckets of the min-hash bands of the shingles before it (`spans`). A text
+    without closing full stop asks in the buckets of its own last word, with the mask
+    of the shingles before it, the bit of the last of these (`tail`) and the number
+    that a near-copy may lack (`slack`)."""
+    codes, ends = Codes(), EndCounts()
 
     def given(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -366,10 +375,6 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counts() -> pa.RecordBatch:
         return given(dict(zip(("key", "n"), ends.rows(codes), strict=True)))
 
-    def spots() -> pa.RecordBatch:
-        band, span, rep = places.merged()
-        return given({"band": band.view(np.int64), "first": (span >> np.uint64(32)).astype(np.int32), "last": (span & np.uint64(0xFFFFFFFF)).astype(np.int32), "rep": rep.view(np.int64)})
-
     for batch in bounded(batches, 1):
         texts = batch.column(1).to_pylist()
         use = [i for i, t in enumerate(texts) if t and t.strip()]
@@ -380,9 +385,6 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(codes.code) > HELD or ends.size() > HELD:
             yield counts()
             codes, ends = Codes(), EndCounts()
-        if places.count > HELD and places.merged().shape[1] > HELD // 2:
-            yield spots()
-            places = Places()
         code, row, h, after = body_tokens(bases, codes)
         ctx = context_hashes(h, row)
         state = np.array([end_state(p[0], p[2], p[3]) for p in peeled], np.int32)
@@ -410,18 +412,20 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spot = np.flatnonzero(full & (place + 2 - SHINGLE >= KEPT * shingles[row]) & (place < size[row] - 1))
         bands = running_bands(sh, sh_row)
         bands = bands[:, np.where(full, before, 0)] if len(sh) else np.zeros((BANDS, len(row)), np.uint64)
-        hashes = batch.column(0).take(take)
-        places.add(bands, spot, row, place, hashes.to_numpy())
+        held, asked, many, bit = masks(sh, sh_row, n)
+        tail = bit[np.maximum(np.cumsum(many) - 2, 0)] if len(bit) else np.zeros(n, np.int64)
+        slack = np.floor((many - 1) * (1 - SIMILARITY) + 1e-6)
         asks, short = bare & (size > SHINGLE), h.astype(np.uint32)
         own = bands[:, last].T if len(row) else np.zeros((n, BANDS), np.uint64)
         columns = [
-            hashes, batch.column(2).take(take), pa.array([len(t) for t in raw], pa.int32()), pa.array([len(t.encode()) for t in raw], pa.int32()), pa.array([p[1] for p in peeled], pa.string()), pa.array(state), lists_of(closing, bare), lists_of(fragments, bare), lists_of(own, asks),
+            batch.column(0).take(take), batch.column(2).take(take), pa.array([len(t) for t in raw], pa.int32()), pa.array([len(t.encode()) for t in raw], pa.int32()), pa.array([p[1] for p in peeled], pa.string()), pa.array(state), lists_of(closing, bare), lists_of(fragments, bare), lists_of(own, asks),
             pa.array((size - 1).astype(np.int32), mask=~asks), pa.array([short[a:b].tobytes() if x else None for a, b, x in zip(last - size + 1, last, asks.tolist(), strict=True)], pa.binary()),
-            pa.array([codes.words[c] if x else None for c, x in zip(code[last].tolist(), asks.tolist(), strict=True)] if len(code) else [None] * n, pa.string()), *(pa.nulls(n, t) for t in ARROW[12:]),
+            pa.array([codes.words[c] if x else None for c, x in zip(code[last].tolist(), asks.tolist(), strict=True)] if len(code) else [None] * n, pa.string()), 
+            *(pa.array(x.view(np.int64), mask=~asks) for x in asked), *(pa.array(x.astype(np.int32), mask=~asks) for x in (tail, slack)),
+            spans_of(bands, spot, row, place, n), *(pa.array(x.view(np.int64)) for x in held), *(pa.nulls(n, t) for t in ARROW[-2:]),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=NAMES)
     yield counts()
-    yield spots()
 
 
 def aligned_ends(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,15 +489,20 @@ def near_copies(feats: DataFrame, texts: DataFrame) -> DataFrame:
     near-copies of a longer text's beginning: whether one of them goes on where they
     end, at a word or inside one.
 
-    A bucket is a band key and a place; its representatives are the least and the
-    greatest text with a span there (of each task's least), and every text that asks
-    there is compared with these (a star, never all pairs). `texts` are (text_hash,
-    text)."""
-    short = feats.where("at is not null").select("text_hash", F.explode("asks").alias("band"), "at")
-    asked = short.select("band", "at").distinct().hint("shuffle_hash")
-    spans = feats.where("band is not null").select("band", "first", "last", "rep")
-    stars = spans.join(asked, "band").where("at between first and last").groupBy("band", "at").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    links = stored(short.join(stars, ["band", "at"]).select("text_hash", F.explode(F.array_distinct(F.array("a", "b"))).alias("rep")).distinct(), "links")
+    A bucket is a band key and a place, and every text that asks there meets every text
+    with a span there. A pair is let go only where the masks prove it no near-copy: a
+    bit that the asking text has and the other lacks is at least one shingle that the
+    other lacks, and without the last shingle it can't be aligned. Texts that ask in
+    one bucket are met in blocks, so texts of a band that hold no asked place are not
+    compared one by one. `texts` are (text_hash, text)."""
+    block = F.floor((F.row_number().over(Window.partitionBy("band", "at").orderBy("text_hash")) - 1) / ASKING)
+    short = feats.where("at is not null").select("text_hash", F.explode("asks").alias("band"), "at", "ask_low", "ask_high", "tail", "slack").withColumn("block", block)
+    asking = short.groupBy("band", "at", "block").agg(F.collect_list(F.struct("text_hash", "ask_low", "ask_high", "tail", "slack")).alias("asking"))
+    spans = feats.where("size(spans) > 0").select(F.inline("spans"), F.col("text_hash").alias("rep"), "low", "high")
+    met = spans.join(asking, "band").where("at between first and last").select("rep", "low", "high", F.inline("asking"))
+    lacks = F.expr("bit_count(ask_low & ~low) + bit_count(ask_high & ~high)")
+    aligns = F.expr("(shiftrightunsigned(if(tail < 64, low, high), tail & 63) & 1) = 1")
+    links = stored(met.where(aligns & (lacks <= F.col("slack"))).select("text_hash", "rep").distinct(), "links")
     other = links.select("rep").distinct().join(texts.select(F.col("text_hash").alias("rep"), F.col("text").alias("other")), "rep").distinct()
     own = feats.where("at is not null").select("text_hash", "tokens", "word")
     pairs = links.join(own, "text_hash").join(other, "rep").select("text_hash", "tokens", "word", "other")

@@ -137,3 +137,15 @@ def test_empty_table(spark):
 def test_peel(text, base, marker, state):
     p = peel(text)
     assert p[:2] == (base, marker) and end_state(p[0], p[2], p[3]) == state
+
+
+def test_every_text_of_a_bucket_is_compared(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    begin = " ".join(words[:30])
+    stopped = [(i, f"{begin}. And {words[40 + i % 5]} stands alone" + " as ever" * (i > 4000) + ".") for i in [*range(40), *range(5000, 5040)]]
+    asking = [(i, begin) for i in range(1000, 2100)]
+    inside = [(3000, begin + "en" + " " + " ".join(words[30:36]) + ".")]
+    for more, flag in (([(3001, begin + " " + " ".join(words[30:38]) + ".")], "at_word"), (inside, "in_word")):
+        texts = spark.createDataFrame(stopped + asking + more, "text_hash long, text string").repartition(3)
+        read = texts.select("text_hash", "text", F.lit(1).cast("long").alias("copies")).mapInArrow(features, ROWS_OUT)
+        assert {r["text_hash"] for r in near_copies(read, texts).collect() if r[flag]} == {i for i, _ in asking}
