@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import current_clips, small, squeezed
-from marlstone.llm.packing import CAPACITY, pack, pieces
+from marlstone.llm.packing import CAPACITY, pack
 from marlstone.llm.percentiles import bisect, combined, located, long_values, summaries
 from marlstone.llm.quality import deciding_rule, document_stats, prose_rule
 from marlstone.llm.runs import collapse_runs
@@ -211,8 +211,10 @@ def _token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that must be split: those with a second piece."""
-    return pieces(_token_counts(spark, d), "doc_id", "tokens", CAPACITY).where("piece = 1").select("doc_id")
+    """Documents that must be split: those whose pieces the packing put into more than one
+    container (a full piece fills one of its own)."""
+    held = p8_containers(spark, d).where("pieces > 1").groupBy("doc_id").agg(F.min("container").alias("least"), F.max("container").alias("greatest"))
+    return held.where("least < greatest").select("doc_id")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from marlstone.llm import queries
 from marlstone.llm.packing import pack, patterns, pieces
 
 
@@ -54,3 +57,13 @@ def test_empty(spark):
 def test_only_longer_items_are_split(spark):
     df = spark.createDataFrame([(1, 2048), (2, 2049), (3, 0), (4, None)], "doc_id long, tokens long")
     assert sorted((r["doc_id"], r["piece"], r["tokens"]) for r in pieces(df, "doc_id", "tokens").collect()) == [(1, 0, 2048), (2, 0, 2048), (2, 1, 1)]
+
+
+def test_split_documents_come_from_the_containers(spark, tmp_path, monkeypatch):
+    texts = [(1, "word " * 2048), (2, "word " * 9000), (3, "word " * 3000), (4, "short"), (5, None), (6, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {r["doc_id"]: r["tokens"] for r in queries._token_counts(spark, str(tmp_path)).collect()}
+    found = sorted(r["doc_id"] for r in queries.p8_found(spark, str(tmp_path)).collect())
+    assert found == sorted(i for i, n in counts.items() if n > 2048) and {2, 3} <= set(found)
+    monkeypatch.setattr(queries, "pack", lambda *a: pack(*a).withColumn("container", F.lit(0)))
+    assert not queries.p8_found(spark, str(tmp_path)).collect()
